@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arrayloom.llm import grouped_split, overlap
+from arrayloom.llm import capping, grouped_split, overlap, survivors
 from arrayloom.llm.arrays import array_records
 
 
@@ -16,6 +16,24 @@ def p2_overlaps_by_split(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.by_split_and_source(array_records(spark, folder))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return survivors.found(array_records(spark, folder))
+
+
+def p4_survivors(spark: SparkSession, folder: str) -> DataFrame:
+    return survivors.surviving_records(array_records(spark, folder))
+
+
+def p7_capped_by_count(spark: SparkSession, folder: str) -> DataFrame:
+    """At most 1,000 records of each subtype."""
+    return capping.cap_contributors(capping.read(array_records(spark, folder)), "subtype", "spacer_count", "row_id", max_rows=1000)
+
+
+def p7_capped_by_share(spark: SparkSession, folder: str) -> DataFrame:
+    """No subtype above an eighth of the records that remain."""
+    return capping.cap_contributors(capping.read(array_records(spark, folder)), "subtype", "spacer_count", "row_id", max_share=0.125)
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return grouped_split.found(array_records(spark, folder))
 
@@ -31,9 +49,13 @@ def p6_split_report(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_overlaps_by_split": p2_overlaps_by_split,
+    "p4_found": p4_found,
+    "p4_survivors": p4_survivors,
     "p6_found": p6_found,
     "p6_splits": p6_splits,
     "p6_split_report": p6_split_report,
+    "p7_capped_by_share": p7_capped_by_share,
+    "p7_capped_by_count": p7_capped_by_count,
 }
 
 _READ = """read AS (SELECT *, upper(regexp_extract(genome_id, '(?:^|[^A-Za-z0-9])([A-Za-z]{2})[_ \\-]?([0-9]{8})(?:[^0-9]|$)', 1))
@@ -58,10 +80,21 @@ _BOUND = f"""{_READ}, bound AS (SELECT row_id, nullif(genome, '') AS genome,
   rooted AS (SELECT row_id, coalesce(g.root, u.root, 'u:' || b.genus, b.genome, CAST(row_id AS VARCHAR)) AS root
     FROM bound b LEFT JOIN genome_root g ON b.genome = g.genome LEFT JOIN genus_root u ON 'u:' || b.genus = u.genus)"""
 
+_SUBTYPED = """plain AS (SELECT row_id, CASE WHEN spacer_count >= 0 THEN CAST(spacer_count AS BIGINT) END AS spacer_count,
+    regexp_replace(regexp_replace(upper(trim(cas_subtype)), '[–—]', '-', 'g'), '^(CAS-|TYPE )\\s*', '') AS s FROM cctyper_validation_repeats_cas_types),
+  subtyped AS (SELECT row_id, spacer_count, nullif(regexp_extract(s, '^(III|II|IV|VI|I|V)-?([A-Z])$', 1) || '-' || regexp_extract(s, '^(III|II|IV|VI|I|V)-?([A-Z])$', 2), '-') AS subtype FROM plain),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY subtype ORDER BY spacer_count DESC NULLS LAST, row_id) AS place FROM subtyped)"""
+
 ORACLE = {
     "p2_found": f"WITH {_TWINS} SELECT least(train_row, other_row) AS row_id_a, greatest(train_row, other_row) AS row_id_b FROM twins",
     "p2_overlaps_by_split": f"""WITH {_TWINS}, per AS (SELECT other_row, count(*) AS n FROM twins GROUP BY 1)
       SELECT split, source, count(*) AS rows, count(n) AS rows_overlapping, CAST(coalesce(sum(n), 0) AS BIGINT) AS pairs
       FROM cctyper_validation_repeats_cas_types LEFT JOIN per ON row_id = other_row WHERE split IN ('validation', 'test') GROUP BY ALL""",
+    "p4_found": f"""WITH {_READ} SELECT a.row_id AS row_id_a, b.row_id AS row_id_b FROM arrays a JOIN arrays b
+      ON a.row_id < b.row_id AND abs(a.array_start - b.array_start) <= 50 AND {_SAME}""",
+    "p7_capped_by_count": f"WITH {_SUBTYPED} SELECT row_id, subtype, spacer_count FROM ranked WHERE place <= 1000",
+    "p7_capped_by_share": f"""WITH {_SUBTYPED}, sizes AS (SELECT count(*) AS n FROM ranked GROUP BY subtype),
+      fits AS (SELECT k FROM range(0, (SELECT max(n) + 1 FROM sizes)) r(k), sizes GROUP BY k HAVING k <= 0.125 * sum(least(n, k)) + 1e-9)
+      SELECT row_id, subtype, spacer_count FROM ranked WHERE place <= (SELECT max(k) FROM fits)""",
     "p6_found": f"WITH RECURSIVE {_BOUND} SELECT row_id, min(row_id) OVER (PARTITION BY root) AS group_row_id FROM rooted",
 }
