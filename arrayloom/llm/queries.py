@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from arrayloom.llm import capping, grouped_split, overlap, survivors
+from arrayloom.llm import capping, grouped_split, overlap, packing, proportions, survivors
 from arrayloom.llm.arrays import array_records
+from arrayloom.runtime import table, written
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,6 +18,23 @@ def p2_overlaps_by_split(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.by_split_and_source(array_records(spark, folder))
 
 
+#: Share of all records that the sample is to hold.
+SAMPLE = 0.1
+
+
+def _sampled(spark: SparkSession, folder: str, what) -> DataFrame:
+    arrays = proportions.read(array_records(spark, folder))
+    return what(arrays, "row_id", "subtype", "phylum", table(spark, folder, "sampling_targets"), ("cas_subtype", "phylum"), SAMPLE)
+
+
+def p3_sample(spark: SparkSession, folder: str) -> DataFrame:
+    return _sampled(spark, folder, proportions.proportional_sample).withColumnsRenamed({"first": "cas_subtype", "second": "phylum"})
+
+
+def p3_targets(spark: SparkSession, folder: str) -> DataFrame:
+    return _sampled(spark, folder, proportions.missed_targets)
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return survivors.found(array_records(spark, folder))
 
@@ -46,9 +65,21 @@ def p6_split_report(spark: SparkSession, folder: str) -> DataFrame:
     return grouped_split.split_report(array_records(spark, folder))
 
 
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Container and place of every page, sizes in tokens of a public byte-level tokenizer."""
+    pages = table(spark, folder, "documents").select("doc_id", packing.token_count(F.col("text")).alias("tokens"))
+    return packing.pack_items(written(pages, "sizes"), "doc_id", "tokens").withColumnRenamed("item", "doc_id")
+
+
+def p8_room_used(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(p8_containers(spark, folder))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_overlaps_by_split": p2_overlaps_by_split,
+    "p3_sample": p3_sample,
+    "p3_targets": p3_targets,
     "p4_found": p4_found,
     "p4_survivors": p4_survivors,
     "p6_found": p6_found,
@@ -56,6 +87,8 @@ QUERIES = {
     "p6_split_report": p6_split_report,
     "p7_capped_by_share": p7_capped_by_share,
     "p7_capped_by_count": p7_capped_by_count,
+    "p8_containers": p8_containers,
+    "p8_room_used": p8_room_used,
 }
 
 _READ = """read AS (SELECT *, upper(regexp_extract(genome_id, '(?:^|[^A-Za-z0-9])([A-Za-z]{2})[_ \\-]?([0-9]{8})(?:[^0-9]|$)', 1))
