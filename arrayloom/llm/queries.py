@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arrayloom.llm import capping, grouped_split, overlap, packing, proportions, survivors
+from arrayloom.llm import capping, grouped_split, overlap, packing, proportions, shared_spans, survivors
 from arrayloom.llm.arrays import array_records
 from arrayloom.runtime import table, written
 
@@ -75,6 +75,18 @@ def p8_room_used(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, folder))
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_spans.sharing_pairs(table(spark, folder, "documents"))
+
+
+def p10_stretches(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_spans.shared_stretches(table(spark, folder, "documents"))
+
+
+def p10_shared_part(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_spans.shared_part(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_overlaps_by_split": p2_overlaps_by_split,
@@ -89,6 +101,9 @@ QUERIES = {
     "p7_capped_by_count": p7_capped_by_count,
     "p8_containers": p8_containers,
     "p8_room_used": p8_room_used,
+    "p10_found": p10_found,
+    "p10_stretches": p10_stretches,
+    "p10_shared_part": p10_shared_part,
 }
 
 _READ = """read AS (SELECT *, upper(regexp_extract(genome_id, '(?:^|[^A-Za-z0-9])([A-Za-z]{2})[_ \\-]?([0-9]{8})(?:[^0-9]|$)', 1))
