@@ -30,6 +30,8 @@ LEAST = 300
 PHRASE = 150
 SHARD_PHRASES = 8_000
 PART_CHARS = 16_000_000
+# Up to so many rows of ids (16 MB) a side is broadcast, beyond it the join shuffles.
+FEW_IDS = 1_000_000
 # Phrases with more different surroundings than this are joined on their surroundings instead of pairwise.
 HOT = 300
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse among 64-bit numbers
@@ -99,6 +101,10 @@ def _batch(prints: list, owners: list, places: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (prints, owners, places)], names=["print", "doc_id", "at"])
 
 
+def _sent(ids: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(ids) if rows <= FEW_IDS else ids
+
+
 def occurrences(documents: DataFrame, phrase: int = PHRASE, least: int = LEAST) -> DataFrame:
     """(print, phrase, doc_id, at, before, after): every occurrence of the recurring phrases.
 
@@ -108,13 +114,14 @@ def occurrences(documents: DataFrame, phrase: int = PHRASE, least: int = LEAST)
     prints = written(fingerprints(docs, phrase, least), "prints")
     recurring = prints.groupBy("print").agg(F.min("doc_id").alias("home"), F.max("doc_id").alias("last")).filter("home <> last").drop("last")
     recurring = written(recurring, "recurring")
-    shards = max(1, -(-recurring.count() // SHARD_PHRASES))
+    phrases_found = recurring.count()
+    shards = max(1, -(-phrases_found // SHARD_PHRASES))
     shard = F.pmod(F.xxhash64("home"), F.lit(shards)).cast("int")
     # phrases of one document stay together, so that its partners go through few shards
-    kept = written(prints.join(recurring, "print").select("print", "doc_id", "at", "home", shard.alias("shard")), "kept")
-    stops = kept.select("doc_id", "shard").distinct()
+    kept = written(prints.join(_sent(recurring, phrases_found), "print").select("print", "doc_id", "at", "home", shard.alias("shard")), "kept")
+    stops = written(kept.select("doc_id", "shard").distinct(), "stops")
     # texts travel once to every shard that may hold a phrase of theirs
-    texts = written(docs.join(stops, "doc_id"), "texts")
+    texts = written(docs.join(_sent(stops, stops.count()), "doc_id"), "texts")
     heads = kept.filter("doc_id = home")
     phrases = heads.join(texts, ["doc_id", "shard"]).select("shard", "print", F.col("text").substr(F.col("at") + 1, F.lit(phrase)).alias("phrase"))
     parts = texts.groupBy("shard").agg(F.ceil(F.sum(F.length("text")) / PART_CHARS).cast("int").alias("parts"))
