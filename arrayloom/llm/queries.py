@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arrayloom.llm import capping, grouped_split, overlap, packing, proportions, shared_spans, survivors
+from arrayloom.llm import capping, grouped_split, leaks, overlap, packing, proportions, shared_spans, survivors
 from arrayloom.llm.arrays import array_records
 from arrayloom.runtime import table, written
 
@@ -75,6 +75,22 @@ def p8_room_used(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, folder))
 
 
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.printed_passages(table(spark, folder, "documents"), table(spark, folder, "eval_passages"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).select("doc_id", "passage_id")
+
+
+def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder)
+
+
+def p9_leaks_by_task(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leak_report(_leaks(spark, folder), table(spark, folder, "eval_passages"))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return shared_spans.sharing_pairs(table(spark, folder, "documents"))
 
@@ -101,6 +117,9 @@ QUERIES = {
     "p7_capped_by_count": p7_capped_by_count,
     "p8_containers": p8_containers,
     "p8_room_used": p8_room_used,
+    "p9_found": p9_found,
+    "p9_leaks": p9_leaks,
+    "p9_leaks_by_task": p9_leaks_by_task,
     "p10_found": p10_found,
     "p10_stretches": p10_stretches,
     "p10_shared_part": p10_shared_part,
