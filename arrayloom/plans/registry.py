@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arrayloom.plans import curated
+from arrayloom.plans import curated, sequences
 
-_MODULES = [curated]
+_MODULES = [curated, sequences]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def entry(spark: SparkSession, folder: str) -> DataFrame:
-    return queries()["p1_found"](spark, folder)
+    return queries()["detected_matrix"](spark, folder)
