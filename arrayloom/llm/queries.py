@@ -163,5 +163,7 @@ ORACLE = {
     "p7_capped_by_share": f"""WITH {_SUBTYPED}, sizes AS (SELECT count(*) AS n FROM ranked GROUP BY subtype),
       fits AS (SELECT k FROM range(0, (SELECT max(n) + 1 FROM sizes)) r(k), sizes GROUP BY k HAVING k <= 0.125 * sum(least(n, k)) + 1e-9)
       SELECT row_id, subtype, spacer_count FROM ranked WHERE place <= (SELECT max(k) FROM fits)""",
+    "p10_found": """WITH windows AS (SELECT doc_id, md5(substr(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, greatest(length(text) - 298, 1))) AS i FROM documents))
+      SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM windows a JOIN windows b ON a.h = b.h AND a.doc_id < b.doc_id""",
     "p6_found": f"WITH RECURSIVE {_BOUND} SELECT row_id, min(row_id) OVER (PARTITION BY root) AS group_row_id FROM rooted",
 }
