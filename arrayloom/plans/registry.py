@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arrayloom.plans import curated, sequences
+from arrayloom.plans import curated, sequences, training
 
-_MODULES = [curated, sequences]
+_MODULES = [curated, sequences, training]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
