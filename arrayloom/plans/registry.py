@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arrayloom.plans import curated, sequences, training
+from arrayloom.plans import curated, labels, sequences, training
 
-_MODULES = [curated, sequences, training]
+_MODULES = [curated, sequences, training, labels]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -274,9 +274,9 @@ ORACLE = {
       sim AS (SELECT q.row_id, ref_id, label, (least(length(q.t), length(r.t)) - hamming(substr(q.t, 1, least(length(q.t), length(r.t))::BIGINT), substr(r.t, 1, least(length(q.t), length(r.t))::BIGINT))) / greatest(length(q.t), length(r.t)) AS i FROM q JOIN r ON q.self <> r.self),
       ranked AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY i DESC, ref_id) AS no FROM sim),
       near AS (SELECT row_id, max(ref_id) FILTER (no = 1) AS nearest_ref_id, max(label) FILTER (no = 1) AS nearest_label, max(i) FILTER (no = 1) AS b, max(i) FILTER (no = 2) AS s FROM ranked WHERE no <= 2 GROUP BY 1),
-      v AS (SELECT row_id, label, count(*) AS n FROM sim WHERE i >= 0.9 GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY row_id) AS p FROM v), e AS (SELECT row_id, sum(n) AS c, max(p) AS t, sum(-p * log2(p)) AS h FROM p GROUP BY 1)
+      v AS (SELECT row_id, label, count(*) AS n FROM sim WHERE i >= 0.9 GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY row_id) AS p FROM v), e AS (SELECT row_id, sum(n) AS c, max(p) AS tv, sum(-p * log2(p)) AS h FROM p GROUP BY 1)
       SELECT q.row_id, nearest_ref_id, nearest_label, coalesce(round_even(b * 1000000.0, 0) / 1000000.0, 0) AS neighbor_best_identity, coalesce(round_even(s * 1000000.0, 0) / 1000000.0, 0) AS neighbor_second_identity, CAST(coalesce(c, 0) AS BIGINT) AS neighbor_close_count_90,
-        coalesce(round_even(t * 1000000.0, 0) / 1000000.0, 0) AS neighbor_top_vote_fraction_90, coalesce(round_even(h * 1000000.0, 0) / 1000000.0 + 0.0, 0) AS neighbor_subtype_entropy_90 FROM q LEFT JOIN near USING (row_id) LEFT JOIN e USING (row_id)""",
+        coalesce(round_even(tv * 1000000.0, 0) / 1000000.0, 0) AS neighbor_top_vote_fraction_90, coalesce(round_even(h * 1000000.0, 0) / 1000000.0 + 0.0, 0) AS neighbor_subtype_entropy_90 FROM q LEFT JOIN near USING (row_id) LEFT JOIN e USING (row_id)""",
     "train_repeat_features": f"""WITH x AS (SELECT row_id, upper(coalesce(repeat_sequence, '')) AS u, {_PLAIN} AS s, reverse(translate({_PLAIN}, 'ACGT', 'TGCA')) AS rc FROM {_T}),
       y AS (SELECT *, CASE WHEN s = '' THEN CAST(0 AS DOUBLE) ELSE {_SELF} END AS self_identity, {_STEM} AS inverted_stem, length(u) - length(replace(u, 'G', '')) AS g, length(u) - length(replace(u, 'C', '')) AS c FROM x)
       SELECT row_id, {_pct('s', 'GC')} AS gc_percent, {_pct('s', 'AT')} AS at_percent, CASE WHEN g + c = 0 THEN CAST(0 AS DOUBLE) ELSE round_even((g - c) / (g + c) * 1000000.0, 0) / 1000000.0 END AS gc_skew, self_identity, CAST(inverted_stem AS INTEGER) AS inverted_stem,
