@@ -176,7 +176,7 @@ def _even(x: str, digits: int) -> str:
     return f"round_even(({x}) * {10**digits}.0, 0) / {10**digits}.0"
 
 
-_DATA = f"""bact AS (SELECT record_id, 'b' || record_id AS genome_id, 'strain_' || (record_id % 40) AS bacterium, {_S[0]} AS s1, {_S[1]} AS s2, {_S[2]} AS s3, {_R} AS r,
+DATA_SQL = f"""bact AS (SELECT record_id, 'b' || record_id AS genome_id, 'strain_' || (record_id % 40) AS bacterium, {_S[0]} AS s1, {_S[1]} AS s2, {_S[2]} AS s3, {_R} AS r,
     {_d("'a' || record_id")} AS fa, {_d("'z' || record_id")} AS fz FROM downloaded_records WHERE record_type = 'bacterium'),
   phag AS (SELECT 'p' || record_id AS phage_id, 'clade_' || (record_id % 30) AS phage,
     {_d("'f' || record_id")} || {_S[0]} || {_d("'g' || record_id")} || {_rc(_S[1])} || {_d("'h' || record_id")}
@@ -187,7 +187,7 @@ _DATA = f"""bact AS (SELECT record_id, 'b' || record_id AS genome_id, 'strain_'
   strands AS (SELECT spacer_id, spacer AS query, '+' AS strand FROM spac UNION ALL SELECT spacer_id, {_rc('spacer')}, '-' FROM spac WHERE {_rc('spacer')} <> spacer)"""
 
 # Brute force: every window of every length, without the shortest-window filter.
-_ARRAYS = f"""{_DATA},
+_ARRAYS = f"""{DATA_SQL},
   recs AS (SELECT genome_id, fa || r || s1 || r || s2 || r || s3 || r || fz AS seq FROM bact),
   reps AS (SELECT genome_id, seq, size, p AS pos, substr(seq, p + 1, size) AS rep FROM recs, range(23, 48) l(size), range(0, 240) w(p) WHERE p + size <= length(seq)),
   often AS (SELECT *, count(*) OVER (PARTITION BY genome_id, rep) AS n, min(pos) OVER (PARTITION BY genome_id, rep) AS first_at,
@@ -203,7 +203,7 @@ _ARRAYS = f"""{_DATA},
   arrays AS (SELECT genome_id, genome_id || '|c1|array_' || row_number() OVER (PARTITION BY genome_id ORDER BY c.s, c.e) AS array_id, c.s AS start, c.e AS "end", c.rep AS repeat_consensus, length(c.rep) AS repeat_length,
     len(c.places) AS repeat_count, list_transform(range(1, len(c.places)), lambda i: substr(seq, c.places[i] + length(c.rep) + 1, c.places[i + 1] - c.places[i] - length(c.rep))) AS spacers FROM kept)"""
 
-_HITS = f"""{_DATA},
+_HITS = f"""{DATA_SQL},
   hits AS (SELECT spacer_id, phage_id, phage, seq, query, strand, p + 1 AS start, p + length(query) AS "end" FROM (SELECT *, unnest(range(0, 300)) AS p FROM strands JOIN phag ON contains(seq, query)) WHERE substr(seq, p + 1, length(query)) = query),
   flanked AS (SELECT *, substr(seq, greatest(start - 10, 1), start - greatest(start - 10, 1)) AS up, substr(seq, "end" + 1, 10) AS down FROM hits),
   placed AS (SELECT *, CASE WHEN strand = '-' THEN {_rc('query')} ELSE query END AS protospacer, CASE WHEN strand = '-' THEN {_rc('down')} ELSE up END AS flank_5p, CASE WHEN strand = '-' THEN {_rc('up')} ELSE down END AS flank_3p FROM flanked)"""
@@ -261,7 +261,7 @@ _GRID = f"""{_EVIDENCE}, grid AS (SELECT * FROM (SELECT DISTINCT bacterium FROM
     coalesce(pam_evaluated_hits, 0) AS pam_evaluated_hits, coalesce(pam_support_level, 'not_applicable') AS pam_support_level, best_pam_compatibility_score, mean_pam_compatibility_score, coalesce(seed_evaluated_hits, 0) AS seed_evaluated_hits,
     best_seed_mismatches, coalesce(current_evidence_level, 'no spacer-match evidence') AS current_evidence_level FROM grid LEFT JOIN pairs USING (bacterium, phage))"""
 
-_FUZZY = f"""{_DATA}, cand AS (SELECT spacer_id, phage_id, phage, query, strand, p, substr(seq, p + 1, 32) AS there FROM strands, phag, range(0, 193) w(p) WHERE hamming(query, substr(seq, p + 1, 32)) <= 4),
+_FUZZY = f"""{DATA_SQL}, cand AS (SELECT spacer_id, phage_id, phage, query, strand, p, substr(seq, p + 1, 32) AS there FROM strands, phag, range(0, 193) w(p) WHERE hamming(query, substr(seq, p + 1, 32)) <= 4),
   meas AS (SELECT *, hamming(query, there) AS mm, least(hamming(substr(query, 1, 8), substr(there, 1, 8)), hamming(substr(query, 25, 8), substr(there, 25, 8))) AS edge FROM cand),
   near AS (SELECT *, row_number() OVER (PARTITION BY spacer_id ORDER BY mm, edge, phage_id, strand, p) AS place FROM meas WHERE 1 - mm / 32.0 >= 0.85),
   fuzzy AS (SELECT spacer_id, phage_id, phage, strand, p + 1 AS start, p + 32 AS "end", 1 - mm / 32.0 AS identity, mm AS mismatches, 32 AS spacer_length, edge AS edge_mismatches, mm - edge AS distal_mismatches FROM near WHERE place <= 5)"""

@@ -18,14 +18,14 @@ def _arrays(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "cctyper_validation_repeats_cas_types")
 
 
-def _labelled(spark: SparkSession, folder: str) -> DataFrame:
+def labelled(spark: SparkSession, folder: str) -> DataFrame:
     """Rows with a repeat and a decided subtype, in upper case and without blanks around."""
     rows = _arrays(spark, folder).withColumn("repeat_sequence", F.upper(F.trim("repeat_sequence"))).withColumn("cas_subtype", F.upper(F.trim("cas_subtype")))
     return training.with_hash(rows.filter(training.is_usable(F.col("repeat_sequence")) & ~training.is_ambiguous(F.col("cas_subtype"))))
 
 
 def _both(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    rows = _labelled(spark, folder)
+    rows = labelled(spark, folder)
     return rows.filter("split = 'train'"), rows.filter("split in ('validation', 'test')")
 
 
@@ -44,7 +44,7 @@ def train_flags(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def train_conflicts(spark: SparkSession, folder: str) -> DataFrame:
-    return training.conflicts(_labelled(spark, folder), "row_id")
+    return training.conflicts(labelled(spark, folder), "row_id")
 
 
 def train_novel(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,7 +53,7 @@ def train_novel(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def train_balanced(spark: SparkSession, folder: str) -> DataFrame:
-    return training.balanced(_labelled(spark, folder), MOST).select("row_id", "cas_subtype", "spacer_count")
+    return training.balanced(labelled(spark, folder), MOST).select("row_id", "cas_subtype", "spacer_count")
 
 
 def train_audit(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,17 +67,17 @@ def train_subtype_delta(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def train_frequent_classes(spark: SparkSession, folder: str) -> DataFrame:
-    return training.frequent_classes(_labelled(spark, folder), "cas_subtype", 50).select("row_id", "cas_subtype")
+    return training.frequent_classes(labelled(spark, folder), "cas_subtype", 50).select("row_id", "cas_subtype")
 
 
 def train_group_holdout(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _labelled(spark, folder).withColumn("genus", F.coalesce(F.nullif(F.split_part(F.trim("organism"), F.lit(" "), F.lit(1)), F.lit("")), F.lit("unknown")))
+    rows = labelled(spark, folder).withColumn("genus", F.coalesce(F.nullif(F.split_part(F.trim("organism"), F.lit(" "), F.lit(1)), F.lit("")), F.lit("unknown")))
     return training.group_holdout(rows, "genus", HOLDOUT_SHARE, HOLDOUT_SEED)
 
 
 def train_collapsed(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of one genome, repeat and subtype as one, with their distinct arrays as spacers."""
-    rows = _labelled(spark, folder).withColumn("place", F.concat_ws(":", "contig_id", F.col("array_start").cast("string")))
+    rows = labelled(spark, folder).withColumn("place", F.concat_ws(":", "contig_id", F.col("array_start").cast("string")))
     return training.collapse_spacers(rows, ["genome_id", "repeat_sequence", "cas_subtype", "taxonomy"], "place", "spacer_count")
 
 
@@ -119,7 +119,7 @@ def train_overlapping_calls(spark: SparkSession, folder: str) -> DataFrame:
 
 def train_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """Neighbour features of every row whose id is divisible by 20, against all training rows."""
-    rows = _labelled(spark, folder).withColumn("array_key", F.concat_ws("|", "genome_id", "contig_id", F.col("array_start").cast("string")))
+    rows = labelled(spark, folder).withColumn("array_key", F.concat_ws("|", "genome_id", "contig_id", F.col("array_start").cast("string")))
     asks = rows.filter("row_id % 20 = 0").select("row_id", F.col("repeat_sequence").alias("text"), "array_key")
     refs = rows.filter("split = 'train'").select(F.col("row_id").alias("ref_id"), F.col("repeat_sequence").alias("text"), F.col("cas_subtype").alias("label"), "array_key")
     return neighbour_features(asks, refs)
@@ -137,7 +137,7 @@ def train_repeat_features(spark: SparkSession, folder: str) -> DataFrame:
 
 def train_kmers(spark: SparkSession, folder: str) -> DataFrame:
     """Share of each 3-mer in the repeats of a subtype, repeats counted once."""
-    rows = _labelled(spark, folder).select("cas_subtype", "repeat_sequence").distinct()
+    rows = labelled(spark, folder).select("cas_subtype", "repeat_sequence").distinct()
     each = rows.select("cas_subtype", F.explode(dna.kmers(F.col("repeat_sequence"), 3)).alias("kmer")).groupBy("cas_subtype", "kmer").agg(F.count("*").alias("n"))
     totals = each.groupBy("cas_subtype").agg(F.sum("n").alias("total"))
     return each.join(totals, "cas_subtype").select("cas_subtype", "kmer", "n", (F.col("n") / F.col("total")).alias("share"))
