@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bases that each IUPAC letter allows. Fixed values.
@@ -90,23 +90,23 @@ def global_identity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 0.0).otherwise(positions_alike(a, b) / longest)
 
 
-def self_complement_identity(sequence: Column) -> Column:
-    s = plain_bases(sequence)
-    return F.when(F.length(s) == 0, 0.0).otherwise(rounded(positions_alike(s, reverse_complement(s)) / F.length(s), 6))
-
-
-def inverted_stem(sequence: Column, longest: int = 12) -> Column:
-    """The largest number of bases at the beginning that are the reverse complement of as many at the end; 0 below two."""
-    s = plain_bases(sequence)
-    most = F.least(F.lit(longest), F.floor(F.length(s) / 2).cast("int"))
-    fits = F.filter(F.sequence(F.lit(2), F.greatest(most, F.lit(2))), lambda k: (k <= most) & (s.substr(F.lit(1), k) == reverse_complement(s.substr(F.length(s) - k + 1, k))))
-    return F.coalesce(F.array_max(fits), F.lit(0))
-
-
-def hairpin_score(sequence: Column) -> Column:
-    s = plain_bases(sequence)
-    n = F.length(s)
-    return F.when(n < 8, 0.0).otherwise(rounded(inverted_stem(s) / F.sqrt(n) + self_complement_identity(s), 6))
+def with_structure(df: DataFrame, column: str, longest: int = 12) -> DataFrame:
+    """df with self_identity, inverted_stem and hairpin_score of a sequence column's plain bases.
+
+    self_identity: positions that agree with the reverse complement, as a share.
+    inverted_stem: the largest number of bases at the beginning, up to longest,
+    that are the reverse complement of as many at the end; 0 below two.
+    hairpin_score: stem over the root of the length plus self_identity, 0 below
+    eight bases. Null is read as empty. Steps are columns, computed once each.
+    """
+    columns = df.columns
+    steps = df.withColumn("_s", plain_bases(F.coalesce(column, F.lit("")))).withColumn("_rc", reverse_complement(F.col("_s")))
+    s, rc, n = F.col("_s"), F.col("_rc"), F.length("_s")
+    same = F.filter(F.zip_with(F.split("_s", ""), F.split("_rc", ""), lambda a, b: a == b), lambda x: x)
+    fits = F.filter(F.sequence(F.lit(2), F.lit(longest)), lambda k: (k * 2 <= n) & (F.left(s, k) == F.left(rc, k)))
+    steps = steps.withColumn("self_identity", F.when(n == 0, 0.0).otherwise(rounded(F.size(same) / n, 6))).withColumn("inverted_stem", F.coalesce(F.array_max(fits), F.lit(0)))
+    hairpin = F.when(n < 8, 0.0).otherwise(rounded(F.col("inverted_stem") / F.sqrt(n) + F.col("self_identity"), 6))
+    return steps.withColumn("hairpin_score", hairpin).select(*columns, "self_identity", "inverted_stem", "hairpin_score")
 
 
 def extract_accession(*texts: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arrayloom.functions.dna import rounded
-from arrayloom.operators.pam import CURATED_RULES, evaluate, seed_side
+from arrayloom.operators.pam import CURATED_RULES, seed_side, with_evaluation
 from arrayloom.operators.matching import seed_mismatches
 
 #: Names of the evidence levels, from their least score down. Fixed values.
@@ -36,7 +36,7 @@ def annotate(hits: DataFrame, predictions: DataFrame, default_rule: str = "") ->
         .otherwise("no_curated_rule")
     )
     ruled = hits.join(dims, "array_id", "left").withColumn("pam_rule", F.coalesce("override", curated, fallback)).withColumn("pam_rule_source", source).drop("override")
-    judged = ruled.withColumn("pam", evaluate(F.col("pam_rule"), F.col("flank_5p"), F.col("flank_3p"), F.col("genomic_upstream"), F.col("genomic_downstream")))
+    judged = with_evaluation(ruled, F.col("pam_rule"), "flank_5p", "flank_3p", "genomic_upstream", "genomic_downstream")
     seeded = judged.withColumn("seed", seed_mismatches(F.col("spacer"), F.col("protospacer"), F.coalesce(seed_side(F.col("pam_rule")), F.lit(""))))
     return seeded.select(
         *[c for c in seeded.columns if c not in ("pam", "seed")],
@@ -140,8 +140,8 @@ def subtype_support(hits: DataFrame, rules: dict[str, str] | None = None) -> Dat
     rules = rules or CURATED_RULES
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("subtype"), F.lit(v).alias("rule")) for k, v in rules.items()])).alias("r")
     tried = hits.select("array_id", "hit_no", "flank_5p", "flank_3p", "genomic_upstream", "genomic_downstream", each)
-    fits = evaluate(F.col("r.rule"), F.col("flank_5p"), F.col("flank_3p"), F.col("genomic_upstream"), F.col("genomic_downstream"))["pam_match"]
-    counts = tried.groupBy("array_id", F.col("r.subtype").alias("subtype")).agg(F.count_if(fits).alias("n")).filter("n > 0")
+    judged = with_evaluation(tried, F.col("r.rule"), "flank_5p", "flank_3p", "genomic_upstream", "genomic_downstream")
+    counts = judged.groupBy("array_id", F.col("r.subtype").alias("subtype")).agg(F.count_if("pam.pam_match").alias("n")).filter("n > 0")
     listed = counts.groupBy("array_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("minus"), "subtype", "n"))).alias("all"))
     first = hits.groupBy("array_id").agg(
         F.count("*").alias("spacer_hit_count"),

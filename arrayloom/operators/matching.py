@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arrayloom.functions.dna import positions_alike, reverse_complement
-from arrayloom.operators.detect import windows
+from arrayloom.operators.detect import TILE, windows
 
 #: Seed widths of exact search; a spacer uses the widest that it holds.
 SEEDS = (20, 8, 1)
@@ -57,32 +57,53 @@ def exact_hits(spacers: DataFrame, phages: DataFrame) -> DataFrame:
     return out
 
 
+def _paired_words(records: DataFrame, width: int, blocks: int) -> DataFrame:
+    """(phage_id, phage_contig, at, key): every word of a width with every word one to blocks - 1 widths after it."""
+    n = F.length("sequence")
+    ahead = blocks * width
+    tiles = records.filter(n >= width).select("phage_id", "phage_contig", "sequence", F.explode(F.sequence(F.lit(0), n - width, F.lit(TILE))).alias("tile"))
+    cut = tiles.select("phage_id", "phage_contig", "tile", F.substring(F.col("sequence"), F.col("tile") + 1, F.lit(TILE + ahead)).alias("part"))
+    placed = cut.select("phage_id", "phage_contig", "tile", "part", F.explode(F.sequence(F.lit(0), F.least(F.length("part") - width, F.lit(TILE - 1)))).alias("i"))
+    word = placed.withColumn("word", F.col("part").substr(F.col("i") + 1, F.lit(width)))
+    keys = [
+        F.when(F.length("part") >= F.col("i") + (d + 1) * width, F.xxhash64(F.lit(width), F.lit(d), F.col("word"), F.col("part").substr(F.col("i") + d * width + 1, F.lit(width))))
+        for d in range(1, blocks)
+    ]
+    rows = word.select("phage_id", "phage_contig", (F.col("tile") + F.col("i")).alias("at"), F.explode(F.array(*keys)).alias("key"))
+    return rows.filter("key is not null")
+
+
 def fuzzy_hits(spacers: DataFrame, phages: DataFrame, max_mismatches: int = 4, min_identity: float = 0.85, edge: int = 8, per_spacer: int = 5) -> DataFrame:
     """The best places of each spacer within max_mismatches exchanged bases, both strands.
 
-    A spacer is cut into max_mismatches + 1 blocks, of which one must be intact;
-    equal blocks at equal offsets give the places that are verified. Out come
-    mismatches, identity, those in the better of the two edges and the rest; of
-    each spacer the per_spacer best by (mismatches, edge mismatches), ties in
-    order of phage, contig, strand and place. Spacers shorter than edge or with
-    letters other than A, C, G and T are left out.
+    A spacer is cut into max_mismatches + 2 blocks, of which two must be intact;
+    both, at their distance from each other, give the places that are verified.
+    Out come mismatches, identity, those in the better of the two edges and the
+    rest; of each spacer the per_spacer best by (mismatches, edge mismatches),
+    ties in order of phage, contig, strand and place. Spacers shorter than edge
+    or with letters other than A, C, G and T are left out.
     """
+    if edge < max_mismatches + 2:
+        raise ValueError("spacers must be long enough for max_mismatches + 2 blocks: edge is too small")
     usable = spacers.filter((F.length("spacer") >= edge) & F.upper("spacer").rlike("^[ACGT]+$"))
     queries = _strands(usable)
     target = _phage(phages)
-    blocks = max_mismatches + 1
+    blocks = max_mismatches + 2
     width = F.floor(F.length("query") / blocks).cast("int")
-    cut = queries.select("spacer_id", "query", "strand", width.alias("width"), F.explode(F.sequence(F.lit(0), F.lit(max_mismatches))).alias("k"))
-    cut = cut.withColumn("offset", F.col("k") * F.col("width")).withColumn("word", F.col("query").substr(F.col("offset") + 1, F.col("width")))
+    combos = [F.struct(F.lit(i).alias("i"), F.lit(j - i).alias("d")) for i in range(blocks) for j in range(i + 1, blocks)]
+    cut = queries.select("spacer_id", "query", "strand", width.alias("width"), F.explode(F.array(*combos)).alias("c"))
+    offset = F.col("c.i") * F.col("width")
+    q, w = F.col("query"), F.col("width")
+    seeds = cut.withColumn("offset", offset).withColumn("key", F.xxhash64("width", "c.d", q.substr(offset + 1, w), q.substr(offset + F.col("c.d") * w + 1, w))).drop("c")
     # widths follow from the spacers' lengths, so they are few
-    widths = sorted(r[0] for r in queries.select(width.alias("w")).distinct().collect())
+    widths = sorted(r[0] for r in queries.select(width.alias("w")).distinct().collect() if r[0] > 0)
     found = None
-    for w in widths:
-        near = windows(target, w, ["phage_id", "phage_contig"]).join(cut.filter(F.col("width") == w), "word")
+    for size in widths:
+        near = _paired_words(target, size, blocks).join(seeds.filter(w == size), "key")
         places = near.select("spacer_id", "query", "strand", "phage_id", "phage_contig", (F.col("at") - F.col("offset")).alias("at")).distinct()
         found = places if found is None else found.unionByName(places)
     if found is None:
-        found = queries.join(target.limit(0)).select("spacer_id", "query", "strand", "phage_id", "phage_contig", F.lit(0).alias("at"))
+        found = spacers.sparkSession.createDataFrame([], "spacer_id string, query string, strand string, phage_id string, phage_contig string, at int")
     on_phage = found.join(target, ["phage_id", "phage_contig"]).filter((F.col("at") >= 0) & (F.col("at") + F.length("query") <= F.length("sequence")))
     n = F.length("query")
     there = F.col("sequence").substr(F.col("at") + 1, n)

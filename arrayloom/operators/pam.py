@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arrayloom.functions.dna import IUPAC, rounded
@@ -34,57 +34,50 @@ def seed_side(rule: Column) -> Column:
     return F.regexp_replace(rule_side(rule), "^genomic_", "")
 
 
-def motif_pattern(motif: Column) -> Column:
-    """The regular expression of an IUPAC motif."""
-    classes = {k: f"[{v}]" for k, v in IUPAC.items()}
-    letters = F.map_from_arrays(F.array(*[F.lit(k) for k in classes]), F.array(*[F.lit(v) for v in classes.values()]))
-    return F.array_join(F.transform(F.split(motif, ""), lambda c: letters[c]), "")
-
-
-def _score(observed: Column, motif: Column) -> Column:
-    """Mean over positions of 1 for an allowed base; N over anything else counts a quarter."""
-    allowed = {k: v for k, v in IUPAC.items()}
-    letters = F.map_from_arrays(F.array(*[F.lit(k) for k in allowed]), F.array(*[F.lit(v) for v in allowed.values()]))
-    each = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(motif), F.lit(1))),
-        lambda i: F.when(F.contains(letters[motif.substr(i, F.lit(1))], observed.substr(i, F.lit(1))), 1.0).when(motif.substr(i, F.lit(1)) == "N", 0.25).otherwise(0.0),
-    )
-    return rounded(F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x) / F.length(motif), 6)
-
-
-def evaluate(rule: Column, flank_5p: Column, flank_3p: Column, upstream: Column, downstream: Column) -> Column:
-    """struct(pam_sequence, pam_match, support, score, offset) of a rule over the flanks.
+def with_evaluation(df: DataFrame, rule: Column, flank_5p: str, flank_3p: str, upstream: str, downstream: str, out: str = "pam") -> DataFrame:
+    """df with struct(pam_sequence, pam_match, support, score, offset) of a rule over the named flank columns.
 
     The window next to the protospacer is looked at first, then the nearest one
     further away that fits. match is null where the rule is missing or invalid
-    or the flank too short.
+    or the flank too short. Steps are columns of their own, so that each is
+    computed once.
     """
+    columns = df.columns
+    classes = F.create_map(*[F.lit(x) for k, v in IUPAC.items() for x in (k, f"[{v}]")])
     side = rule_side(rule)
-    motif = F.regexp_replace(F.upper(F.regexp_replace(rule, "^[^:]*:", "")), " ", "")
-    motif = F.regexp_replace(motif, r"^\s+|\s+$", "")
-    valid = (side != "") & motif.rlike(f"^[{''.join(IUPAC)}]+$")
-    flank = F.upper(reduce(lambda acc, x: F.when(side == x[0], x[1]).otherwise(acc), [("5prime", flank_5p), ("3prime", flank_3p), ("genomic_5prime", upstream), ("genomic_3prime", downstream)], F.lit("")))
-    n, k = F.length(flank), F.length(motif)
-    inward = side.isin("5prime", "genomic_5prime")
-    pattern = F.concat(F.lit("^"), motif_pattern(motif), F.lit("$"))
-
-    def window(i: Column) -> Column:
-        return F.when(inward, flank.substr(n - k - i + 1, k)).otherwise(flank.substr(i + 1, k))
-
-    offsets = F.sequence(F.lit(0), F.greatest(n - k, F.lit(0)))
-    at = F.get(F.filter(offsets, lambda i: F.regexp_like(window(i), pattern)), F.lit(0))
-
-    def out(sequence, match, support, score, offset) -> Column:
-        return F.struct(
-            sequence.alias("pam_sequence"), match.cast("boolean").alias("pam_match"), F.lit(support).alias("support") if isinstance(support, str) else support.alias("support"),
-            score.cast("double").alias("score"), offset.cast("int").alias("offset"),
-        )
-
+    motif = F.regexp_replace(F.upper(F.regexp_replace(rule, "^[^:]*:", "")), r"\s", "")
+    steps = df.withColumn("_rule", rule).withColumn("_side", side).withColumn("_motif", motif)
+    flanks = {"5prime": flank_5p, "3prime": flank_3p, "genomic_5prime": upstream, "genomic_3prime": downstream}
+    flank = reduce(lambda acc, x: F.when(F.col("_side") == x[0], F.col(x[1])).otherwise(acc), flanks.items(), F.lit(""))
+    steps = steps.withColumn("_flank", F.upper(flank)).withColumn("_valid", (F.col("_side") != "") & F.col("_motif").rlike(f"^[{''.join(IUPAC)}]+$"))
+    pattern = F.concat(F.lit("^"), F.array_join(F.transform(F.split("_motif", ""), lambda c: classes[c]), ""), F.lit("$"))
+    steps = steps.withColumn("_pattern", F.when(F.col("_valid"), pattern))
+    n, k = F.length("_flank"), F.length("_motif")
+    inward = F.col("_side").isin("5prime", "genomic_5prime")
+    windows = F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.when(inward, F.col("_flank").substr(n - k - i + 1, k)).otherwise(F.col("_flank").substr(i + 1, k)))
+    steps = steps.withColumn("_windows", F.when(F.col("_valid") & (n >= k), windows))
+    first = F.get(F.filter(F.transform("_windows", lambda x, i: F.when(F.regexp_like(x, F.col("_pattern")), i)), lambda i: i.isNotNull()), F.lit(0))
+    steps = steps.withColumn("_at", first).withColumn("_window", F.get("_windows", F.coalesce("_at", F.lit(0))))
+    bases = F.create_map(*[F.lit(x) for kv in IUPAC.items() for x in kv])
+    each = F.zip_with(
+        F.split("_motif", ""), F.split("_window", ""), lambda m, b: F.when(F.contains(bases[m], b), 1.0).when(m == "N", 0.25).otherwise(0.0)
+    )
+    score = rounded(F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x) / k, 6)
     null = F.lit(None)
-    return (
-        F.when(F.coalesce(rule, F.lit("")) == "", out(F.lit(""), null, "not_evaluated", null, null))
-        .when(~valid, out(F.lit(""), null, "invalid_rule", null, null))
-        .when(n < k, out(flank, null, "insufficient_flank", null, null))
-        .when(at.isNotNull(), out(window(at), F.lit(True), F.when(at == 0, "compatible").otherwise("compatible_nearby"), _score(window(at), motif), at))
-        .otherwise(out(window(F.lit(0)), F.lit(False), "not_supported", _score(window(F.lit(0)), motif), F.lit(0)))
+    looked = F.col("_windows").isNotNull()
+    support = (
+        F.when(F.coalesce("_rule", F.lit("")) == "", "not_evaluated")
+        .when(~F.coalesce("_valid", F.lit(False)), "invalid_rule")
+        .when(n < k, "insufficient_flank")
+        .when(F.col("_at") == 0, "compatible")
+        .when(F.col("_at") > 0, "compatible_nearby")
+        .otherwise("not_supported")
+    )
+    result = F.struct(
+        F.when(looked, F.col("_window")).when(F.col("_valid"), F.col("_flank")).otherwise("").alias("pam_sequence"),
+        F.when(looked, F.col("_at").isNotNull()).otherwise(null).cast("boolean").alias("pam_match"),
+        support.alias("support"),
+        F.when(looked, score).alias("score"),
+        F.when(looked, F.coalesce("_at", F.lit(0))).cast("int").alias("offset"),
     )
+    return steps.withColumn(out, result).select(*columns, out)

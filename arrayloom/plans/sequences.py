@@ -105,7 +105,7 @@ def pam_evaluations(spark: SparkSession, folder: str) -> DataFrame:
     """Every curated rule, a nonsense one and a too long one over the flanks of every hit."""
     rules = F.explode(F.array(*[F.lit(r) for r in (*pam.CURATED_RULES.values(), "sideways:NGG", "3prime:NNNNNNNNNNNN", "downstream: n g g")]))
     rows = hit_flanks(spark, folder).withColumn("rule", rules)
-    judged = rows.withColumn("e", pam.evaluate(F.col("rule"), F.col("flank_5p"), F.col("flank_3p"), F.col("genomic_upstream"), F.col("genomic_downstream")))
+    judged = pam.with_evaluation(rows, F.col("rule"), "flank_5p", "flank_3p", "genomic_upstream", "genomic_downstream", "e")
     return judged.select("spacer_id", "phage_id", "strand", "start", "rule", "e.*")
 
 

@@ -127,11 +127,11 @@ def train_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 def train_repeat_features(spark: SparkSession, folder: str) -> DataFrame:
     """Composition and structure of every repeat."""
-    s = F.coalesce("repeat_sequence", F.lit(""))
-    return _arrays(spark, folder).select(
-        "row_id", dna.gc_percent(s).alias("gc_percent"), dna.at_percent(s).alias("at_percent"), dna.gc_skew(s).alias("gc_skew"), dna.self_complement_identity(s).alias("self_identity"),
-        dna.inverted_stem(s).alias("inverted_stem"), dna.hairpin_score(s).alias("hairpin_score"),
-        dna.gc_percent(F.substring(dna.plain_bases(s), 1, 4)).alias("start_4_gc_percent"), dna.gc_percent(F.reverse(F.substring(F.reverse(dna.plain_bases(s)), 1, 6))).alias("end_6_gc_percent"),
+    rows = dna.with_structure(_arrays(spark, folder).select("row_id", F.coalesce("repeat_sequence", F.lit("")).alias("u")), "u").withColumn("s", dna.plain_bases(F.col("u")))
+    start, end = F.substring("s", 1, 4), F.expr("right(s, 6)")
+    return rows.select(
+        "row_id", dna.gc_percent(F.col("u")).alias("gc_percent"), dna.at_percent(F.col("u")).alias("at_percent"), dna.gc_skew(F.col("u")).alias("gc_skew"), "self_identity", "inverted_stem", "hairpin_score",
+        dna.gc_percent(start).alias("start_4_gc_percent"), dna.gc_percent(end).alias("end_6_gc_percent"),
     )
 
 
