@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arrayloom.llm.arrays import rank, subtype
+from arrayloom.runtime import written
 
 MAX_CATEGORIES = 10_000
 BUCKETS = 4096
@@ -118,7 +119,7 @@ def _plan(records: DataFrame, row_id: str, first: str, second: str, targets: Dat
     one, two = _targets(targets, names[0]), _targets(targets, names[1])
     leaf_two = F.when(F.col(f"`{second}`").isin(*two), F.col(f"`{second}`")).otherwise(OTHER) if two else F.lit(OTHER)
     leaf_one = F.when(F.col(f"`{first}`").isin(*one), F.col(f"`{first}`")).otherwise(OTHER) if one else F.lit(OTHER)
-    leaves = records.select(F.col(f"`{row_id}`").alias("row_id"), leaf_one.alias("first"), leaf_two.alias("second"))
+    leaves = written(records.select(F.col(f"`{row_id}`").alias("row_id"), leaf_one.alias("first"), leaf_two.alias("second")), "leaves")
     counts = {(r["first"], r["second"]): r["n"] for r in leaves.groupBy("first", "second").agg(F.count("*").alias("n")).collect()}
     size = round(sum(counts.values()) * fraction)
     supply = {(a, b): counts.get((a, b), 0) for a in one for b in [*two, OTHER]}
