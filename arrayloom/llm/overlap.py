@@ -82,7 +82,7 @@ def cross_split_overlaps(records: DataFrame, text: str, group: str, split: str,
 
     overlap is the part of the training record's length in chunks that the
     other record shares (the better strand's). Rows without split, group or
-    text take no part; rows with equal group and text are compared once and
+    text (null or empty) take no part; rows with equal group and text are compared once and
     expanded at the end. Column names of the input other than the named ones
     are ignored. An empty table gives no pairs.
     """
@@ -91,7 +91,7 @@ def cross_split_overlaps(records: DataFrame, text: str, group: str, split: str,
         F.col(f"`{group}`").alias("genome"),
         F.col(f"`{text}`").alias("text"),
         F.when(F.col(f"`{split}`") == train, "t").when(F.col(f"`{split}`").isin(*others), "o").alias("side"),
-    ).filter("genome is not null and text is not null and side is not null")
+    ).filter("genome is not null and text <> '' and side is not null")
     classes = rows.groupBy("side", "genome", "text").agg(F.min("row_id").alias("class_id"), F.count("*").alias("n"))
     trained = classes.filter("side = 't'")
     other = classes.filter("side = 'o'")

@@ -23,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from arrayloom.runtime import written
 
@@ -148,13 +149,13 @@ def occurrences(documents: DataFrame, phrase: int = PHRASE, least: int = LEAST)
     return copied.groupBy("shard", "part").cogroup(dealt.select("shard", "part", "doc_id", "text").groupBy("shard", "part")).applyInPandas(locate, schema)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def _shared_end(a: pd.Series, b: pd.Series) -> pd.Series:
     """How many characters two texts share at their ends."""
     return pd.Series([_common(x[::-1], y[::-1]) for x, y in zip(a, b)], dtype="int32")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def _shared_start(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_common(x, y) for x, y in zip(a, b)], dtype="int32")
 
@@ -191,21 +192,23 @@ def _places(documents: DataFrame, phrase: int, least: int) -> tuple[DataFrame, D
         F.col("c").alias("a"), F.col("c").alias("b"), F.length("before").alias("left"), F.length("after").alias("right")
     )
     crowd = classes.groupBy("print").agg(F.count("*").alias("crowd")).filter("crowd > 1")
-    several = classes.join(crowd, "print")
+    # the only document of a class, null if there are several: a span that a document repeats is not shared by that
+    several = classes.join(crowd, "print").withColumn("only", F.when(F.col("d0") == F.col("d1"), F.col("d0")))
+    elsewhere = "a < b and (oa is null or ob is null or oa <> ob)"
     few = several.filter(F.col("crowd") <= HOT)
-    pairs = few.select("print", "phrase", F.col("c").alias("a"), F.col("before").alias("ba"), F.col("after").alias("aa")).join(
-        few.select("print", "phrase", F.col("c").alias("b"), F.col("before").alias("bb"), F.col("after").alias("ab")), ["print", "phrase"]
-    ).filter("a < b")
+    pairs = few.select("print", "phrase", F.col("c").alias("a"), F.col("only").alias("oa"), F.col("before").alias("ba"), F.col("after").alias("aa")).join(
+        few.select("print", "phrase", F.col("c").alias("b"), F.col("only").alias("ob"), F.col("before").alias("bb"), F.col("after").alias("ab")), ["print", "phrase"]
+    ).filter(elsewhere)
     # Any split of the missing length between left and right: equal on both sides for one split means the span is shared.
     many = several.filter(F.col("crowd") > HOT)
-    splits = many.select("print", "phrase", "c", "before", "after", F.explode(F.sequence(F.lit(0), F.lit(need))).alias("t")).filter(
+    splits = many.select("print", "phrase", "c", "only", "before", "after", F.explode(F.sequence(F.lit(0), F.lit(need))).alias("t")).filter(
         (F.length("before") >= F.col("t")) & (F.length("after") >= need - F.col("t"))
     )
     keyed = splits.withColumn("l", F.sha2(F.expr("right(before, t)"), 256)).withColumn("r", F.sha2(F.expr(f"left(after, {need} - t)"), 256))
-    keyed = keyed.select("print", "t", "l", "r", "c", "before", "after")
-    hot = keyed.select("print", "t", "l", "r", F.col("c").alias("a"), F.col("before").alias("ba"), F.col("after").alias("aa")).join(
-        keyed.select("print", "t", "l", "r", F.col("c").alias("b"), F.col("before").alias("bb"), F.col("after").alias("ab")), ["print", "t", "l", "r"]
-    ).filter("a < b").dropDuplicates(["a", "b"])
+    keyed = keyed.select("print", "t", "l", "r", "c", "only", "before", "after")
+    hot = keyed.select("print", "t", "l", "r", F.col("c").alias("a"), F.col("only").alias("oa"), F.col("before").alias("ba"), F.col("after").alias("aa")).join(
+        keyed.select("print", "t", "l", "r", F.col("c").alias("b"), F.col("only").alias("ob"), F.col("before").alias("bb"), F.col("after").alias("ab")), ["print", "t", "l", "r"]
+    ).filter(elsewhere).dropDuplicates(["a", "b"])
     both = pairs.select("a", "b", "ba", "bb", "aa", "ab").unionByName(hot.select("a", "b", "ba", "bb", "aa", "ab"))
     measured = both.select("a", "b", _shared_end("ba", "bb").alias("left"), _shared_start("aa", "ab").alias("right")).filter(F.col("left") + F.col("right") >= need)
     return members, own.unionByName(measured)
