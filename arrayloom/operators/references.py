@@ -46,6 +46,9 @@ def find_orphans(
     key = F.array(*[F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("")) for n in names])
     refs = refs.withColumn("_key", key)
 
+    broken = refs.filter(F.col("_mask") != full) if match == "full" else None
+    if broken is not None:
+        refs = refs.filter(F.col("_mask") == full)
     # at most 2^k - 1 values, whatever the number of references
     masks = [full] if match != "partial" else sorted(r[0] for r in refs.select("_mask").distinct().collect())
     rows = registry.select(
@@ -74,7 +77,8 @@ def find_orphans(
     if as_of:
         at = F.col(f"`{as_of}`")
         on = on & (F.col("_from") <= at) & (F.col("_until").isNull() | (F.col("_until") > at))
-    return refs.join(rows, on, "left_anti").drop("_mask", "_key")
+    found = refs.join(rows, on, "left_anti")
+    return (found if broken is None else found.unionByName(broken)).drop("_mask", "_key")
 
 
 def cell_values(cell: Column, delimiters: str = ";,|") -> Column:
