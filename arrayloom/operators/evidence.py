@@ -53,6 +53,10 @@ def _spacers(n: Column) -> Column:
     return F.least(F.lit(35.0), F.log2(n + 1) * 18.0)
 
 
+def _sure(confidence: Column) -> Column:
+    return F.when(confidence.isNull(), 0.0).otherwise(_clamp(confidence * 10.0, 0.0, 10.0))
+
+
 def _seed(best: Column, supported: Column) -> Column:
     return F.when(~supported | best.isNull(), 0.0).when(best == 0, 10.0).when(best <= 2, 5.0).otherwise(-5.0)
 
@@ -60,7 +64,7 @@ def _seed(best: Column, supported: Column) -> Column:
 def targeting_score(n: Column, identity: Column, coverage: Column, supported: Column, evaluated: Column, seed: Column, confidence: Column) -> Column:
     """0 to 100: number of spacers, identity, PAM support, seed, subtype confidence; capped at 39 if evaluated PAMs are all unsupported."""
     pam = F.when(supported > 0, 20.0).when(evaluated > 0, -25.0).otherwise(0.0)
-    raw = _spacers(n) + _clamp(identity * coverage * 25.0, 0.0, 25.0) + pam + _seed(seed, supported > 0) + F.coalesce(_clamp(confidence * 10.0, 0.0, 10.0), F.lit(0.0))
+    raw = _spacers(n) + _clamp(identity * coverage * 25.0, 0.0, 25.0) + pam + _seed(seed, supported > 0) + _sure(confidence)
     cap = F.when((supported == 0) & (evaluated > 0), 39.0).otherwise(100.0)
     return rounded(F.least(cap, F.greatest(F.lit(0.0), raw)), 2)
 
@@ -68,7 +72,7 @@ def targeting_score(n: Column, identity: Column, coverage: Column, supported: Co
 def weighted_score(n: Column, identity: Column, coverage: Column, best: Column, mean: Column, seed: Column, confidence: Column) -> Column:
     """The same with PAM compatibility as a number from 0 to 1."""
     pam = F.coalesce(rounded(20.0 * best + 10.0 * mean - 15.0, 6), F.lit(0.0))
-    raw = _spacers(n) + _clamp(identity * coverage * 25.0, 0.0, 25.0) + pam + _seed(seed, F.coalesce(best >= 1.0, F.lit(False))) + F.coalesce(_clamp(confidence * 10.0, 0.0, 10.0), F.lit(0.0))
+    raw = _spacers(n) + _clamp(identity * coverage * 25.0, 0.0, 25.0) + pam + _seed(seed, F.coalesce(best >= 1.0, F.lit(False))) + _sure(confidence)
     cap = F.when(best.isNull() | (best >= 1.0), 100.0).when(best >= 0.75, 70.0).when(best >= 0.5, 55.0).otherwise(39.0)
     return rounded(F.least(cap, F.greatest(F.lit(0.0), raw)), 2)
 

@@ -33,7 +33,7 @@ def fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def fasta_in_order(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """The same with record_no, the record's place in its file from 0; reads each file as a whole, so for files that fit a task."""
-    files = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_name").alias("source_file"), "value")
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), "value")
     records = files.select("source_file", F.posexplode(F.filter(F.split("value", r"(?m)^>"), lambda r: F.trim(r) != "")).alias("record_no", "value"))
     head = F.trim(_header(F.col("value")))
     return records.select("source_file", "record_no", F.split_part(head, F.lit(" "), F.lit(1)).alias("record_id"), head.alias("description"), _body(F.col("value")).alias("sequence"))

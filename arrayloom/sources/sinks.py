@@ -11,7 +11,7 @@ from arrayloom.functions.dna import extract_accession, gc_fraction, rounded, seq
 def save_run(folder: str, tables: dict[str, DataFrame], metadata: dict[str, object]) -> None:
     """One folder per table, as Parquet and as CSV with header, and the metadata as one line of JSON. An existing run is not overwritten."""
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([{k: str(v) for k, v in metadata.items()}]).coalesce(1).write.mode("errorifexists").json(f"{folder}/run_metadata")
+    spark.createDataFrame([{"tables": ",".join(tables)} | {k: str(v) for k, v in metadata.items()}]).coalesce(1).write.mode("errorifexists").json(f"{folder}/run_metadata")
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{folder}/parquet/{name}")
         flat = df.select(*[F.array_join(c, ",").alias(c) if kind.startswith("array") else F.col(c) for c, kind in df.dtypes])

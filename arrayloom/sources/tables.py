@@ -42,7 +42,7 @@ def alignments(spark: SparkSession, path: str, spacers: DataFrame, min_identity:
 
 def array_report(spark: SparkSession, path: str) -> DataFrame:
     """(contig_id, array_no, start, end, repeat, spacers) of array reports: Sequence 'x' ..., CRISPR n Range: a - b, rows of position, repeat and spacer."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     parts = files.select(F.explode(F.expr(r"split(value, '(?m)^Sequence ')")).alias("s")).filter(F.col("s").startswith("'"))
     arrays = parts.select(F.regexp_extract("s", "^'([^']*)'", 1).alias("contig_id"), F.explode(F.expr(r"split(s, '(?m)^CRISPR ')")).alias("a")).filter(F.col("a").rlike(r"^\d+\s+Range:"))
     lines = F.filter(F.split("a", "\n"), lambda x: x.rlike(r"^\d+\s+[ACGTNacgtn]+"))
