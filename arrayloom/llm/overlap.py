@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from arrayloom.llm.arrays import MAX_EDITS, bases, genome_key, other_strand, same_bases
 from arrayloom.llm.classes import members_of, with_members
+from arrayloom.runtime import written
 
 # (least length, digested bases): three of them always fit into the length.
 WIDTHS = ((384, 128), (96, 32), (34, 11), (24, 8), (18, 6), (9, 3), (3, 1), (0, 0))
@@ -92,7 +93,8 @@ def cross_split_overlaps(records: DataFrame, text: str, group: str, split: str,
         F.col(f"`{text}`").alias("text"),
         F.when(F.col(f"`{split}`") == train, "t").when(F.col(f"`{split}`").isin(*others), "o").alias("side"),
     ).filter("genome is not null and text <> '' and side is not null")
-    classes = rows.groupBy("side", "genome", "text").agg(F.min("row_id").alias("class_id"), F.count("*").alias("n"))
+    rows = written(rows, "rows")
+    classes = written(rows.groupBy("side", "genome", "text").agg(F.min("row_id").alias("class_id"), F.count("*").alias("n")), "classes")
     trained = classes.filter("side = 't'")
     other = classes.filter("side = 'o'")
     shared = chunks(trained).withColumnRenamed("class_id", "t").join(every_offset(other).withColumnRenamed("class_id", "o"), "digest")
