@@ -57,8 +57,8 @@ def near_pairs(classes: DataFrame, within: int = NEAR) -> DataFrame:
 
 def found(arrays: DataFrame) -> DataFrame:
     """(row_id_a, row_id_b), smaller first: rows that report the same array. Rows without genome, repeat or start match nothing."""
-    rows = _keyed(arrays)
-    classes = _classes(rows)
+    rows = written(_keyed(arrays), "rows")
+    classes = written(_classes(rows), "classes")
     own = classes.filter("n > 1").select(F.col("class_id").alias("a"), F.col("class_id").alias("b"))
     pairs = near_pairs(classes).withColumn("own", F.lit(False)).unionByName(own.withColumn("own", F.lit(True)))
     members = members_of(rows, classes, ["genome", "start", "bases"])
@@ -68,7 +68,7 @@ def found(arrays: DataFrame) -> DataFrame:
 
 def groups(arrays: DataFrame) -> DataFrame:
     """(row_id, group_id) of the rows that have a duplicate; group_id is the least row id of the group."""
-    rows = _keyed(arrays)
+    rows = written(_keyed(arrays), "rows")
     classes = written(_classes(rows), "classes")
     roots = components(near_pairs(classes).unionByName(classes.filter("n > 1").select(F.col("class_id").alias("a"), F.col("class_id").alias("b"))))
     grouped = classes.join(roots, F.col("class_id") == F.col("vertex")).select("genome", "start", "bases", F.col("root").alias("group_id"))
