@@ -95,8 +95,10 @@ class Passage:
             self.at.setdefault(w, []).append(i)
 
 
-# Between two lines of a passage there may be so many lines of adverts and notices in the same column.
+# So many lines of adverts and notices may stand between two lines of a passage in its column; farther off, only a
+# stretch of some agreeing words that takes up exactly where another such one left off goes on with it.
 LINES_BETWEEN = 6
+FAR_BETWEEN, FAR_WORDS = 40, 4
 # A stretch counts if its agreeing words have so many letters.
 LEAST_LETTERS = 7
 
@@ -163,20 +165,30 @@ def longest_run(passage: Passage, lines: list[list[str]]) -> int:
     end of the longest chain in which four of five words agree.
     """
     best = 0
-    ends: dict[int, tuple[int, int, int]] = {}  # passage position -> (words in the chain that ends there, those that agree, line)
+    # passage position -> (words in the chain that ends there, those that agree, line)
+    near: dict[int, tuple[int, int, int]] = {}
+    far: dict[int, tuple[int, int, int]] = {}
+
+    def keep(ends, most, end, chain):
+        old = ends.get(end)
+        if not old or old[0] <= chain[0] or chain[2] - old[2] > most:
+            ends[end] = chain
+
     for no, line in enumerate(lines):
         new = []
         for begin, end, good in fragments(passage, line):
             longest, agree = end - begin, good
-            for over in (0, 1, -1):
-                before = ends.get(begin - over)
-                if before and no - before[2] <= LINES_BETWEEN and before[0] + over + end - begin > longest:
+            befores = [(over, near.get(begin - over), LINES_BETWEEN) for over in (0, 1, -1)]
+            if good >= FAR_WORDS:
+                befores.append((0, far.get(begin), FAR_BETWEEN))
+            for over, before, most in befores:
+                if before and no - before[2] <= most and before[0] + over + end - begin > longest:
                     longest, agree = before[0] + over + end - begin, before[1] + good
-            new.append((end, longest, agree))
+            new.append((end, good, (longest, agree, no)))
             if agree * 5 >= longest * 4:
                 best = max(best, longest)
-        for end, longest, agree in new:
-            old = ends.get(end)
-            if not old or old[0] <= longest or no - old[2] > LINES_BETWEEN:
-                ends[end] = (longest, agree, no)
+        for end, good, chain in new:
+            keep(near, LINES_BETWEEN, end, chain)
+            if good >= FAR_WORDS:
+                keep(far, FAR_BETWEEN, end, chain)
     return best
