@@ -147,6 +147,13 @@ _BOUND = f"""{_READ}, bound AS (SELECT row_id, nullif(genome, '') AS genome,
   rooted AS (SELECT row_id, coalesce(g.root, u.root, 'u:' || b.genus, b.genome, CAST(row_id AS VARCHAR)) AS root
     FROM bound b LEFT JOIN genome_root g ON b.genome = g.genome LEFT JOIN genus_root u ON 'u:' || b.genus = u.genus)"""
 
+# Every window of 300 characters that another document has too; stretches are windows that overlap or touch.
+_STRETCHES = """windows AS (SELECT doc_id, i, md5(substr(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, greatest(length(text) - 298, 1))) AS i FROM documents)),
+  shared AS (SELECT doc_id, i FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING min(doc_id) < max(doc_id))),
+  opened AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 300 THEN 0 ELSE 1 END AS new FROM shared),
+  numbered AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS no FROM opened),
+  stretches AS (SELECT doc_id, min(i) - 1 AS begin, max(i) + 299 AS "end" FROM numbered GROUP BY doc_id, no)"""
+
 _SUBTYPED = """plain AS (SELECT row_id, CASE WHEN spacer_count >= 0 THEN CAST(spacer_count AS BIGINT) END AS spacer_count,
     regexp_replace(regexp_replace(upper(trim(cas_subtype)), '[–—]', '-', 'g'), '^(CAS-|TYPE )\\s*', '') AS s FROM cctyper_validation_repeats_cas_types),
   subtyped AS (SELECT row_id, spacer_count, nullif(regexp_extract(s, '^(III|II|IV|VI|I|V)-?([A-Z])$', 1) || '-' || regexp_extract(s, '^(III|II|IV|VI|I|V)-?([A-Z])$', 2), '-') AS subtype FROM plain),
@@ -163,6 +170,10 @@ ORACLE = {
     "p7_capped_by_share": f"""WITH {_SUBTYPED}, sizes AS (SELECT count(*) AS n FROM ranked GROUP BY subtype),
       fits AS (SELECT k FROM range(0, (SELECT max(n) + 1 FROM sizes)) r(k), sizes GROUP BY k HAVING k <= 0.125 * sum(least(n, k)) + 1e-9)
       SELECT row_id, subtype, spacer_count FROM ranked WHERE place <= (SELECT max(k) FROM fits)""",
+    "p10_stretches": f"WITH {_STRETCHES} SELECT * FROM stretches",
+    "p10_shared_part": f"""WITH {_STRETCHES}, sums AS (SELECT doc_id, count(*) AS n, CAST(sum("end" - begin) AS BIGINT) AS c FROM stretches GROUP BY 1)
+      SELECT d.doc_id, CAST(coalesce(length(text), 0) AS BIGINT) AS n_chars, coalesce(n, 0) AS stretches, coalesce(c, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(c, 0) / length(text) ELSE CAST(0 AS DOUBLE) END AS shared
+      FROM documents d LEFT JOIN sums USING (doc_id)""",
     "p10_found": """WITH windows AS (SELECT doc_id, md5(substr(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, greatest(length(text) - 298, 1))) AS i FROM documents))
       SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM windows a JOIN windows b ON a.h = b.h AND a.doc_id < b.doc_id""",
     "p6_found": f"WITH RECURSIVE {_BOUND} SELECT row_id, min(row_id) OVER (PARTITION BY root) AS group_row_id FROM rooted",
