@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arrayloom.operators import curation, training
+from arrayloom.operators import builders, curation, training
 from arrayloom.runtime import table
 
 ALLOWED = {
@@ -63,6 +63,14 @@ def link_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("poc_id", "host_exact", "host_proxy", "phage_linked", curation.tier(e & p, h & p, h, p).alias("dataset_tier"))
 
 
+def link_best(spark: SparkSession, folder: str) -> DataFrame:
+    """The best registry record of each name: by status, then by id."""
+    rid = F.col("record_id")
+    status = F.element_at(F.array(*[F.lit(s) for s in ("exact", "strain_alias", "reference_proxy", "not_found")]), (rid % 4 + 1).cast("int"))
+    links = table(spark, folder, "downloaded_records").withColumn("linkage_status", status)
+    return builders.best_links(links, ["record_type", "name"], "record_id", ("exact", "strain_alias", "reference_proxy")).select("record_type", "name", "record_id", "linkage_status", "local_path")
+
+
 def link_coverage_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Counts for all pairs and per tier, in one pass."""
     rows = link_coverage(spark, folder)
@@ -98,7 +106,7 @@ def registry_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (label_issues, label_value_counts, label_repeats, label_evaluation, label_evaluation_summary, link_coverage, link_coverage_summary, efficiency_classes, accession_sets, registry_files)}
+QUERIES = {f.__name__: f for f in (label_issues, label_value_counts, label_repeats, label_evaluation, label_evaluation_summary, link_coverage, link_best, link_coverage_summary, efficiency_classes, accession_sets, registry_files)}
 
 _B = "benchmark_labels"
 
@@ -137,6 +145,8 @@ ORACLE = {
     "label_evaluation": f"WITH {_EVAL} SELECT * FROM evald",
     "label_evaluation_summary": f"WITH {_EVAL} SELECT label_status, expected_sabr_behavior, count(pair_id) AS rows, count(*) FILTER (run_match_status = 'matched') AS matched_rows, coalesce(round_even(avg(score) * 1000.0, 0) / 1000.0, 0) AS mean_score FROM evald GROUP BY ALL",
     "link_coverage": f"WITH {_COVER} SELECT * FROM tiers",
+    "link_best": """SELECT record_type, name, record_id, ['exact', 'strain_alias', 'reference_proxy', 'not_found'][record_id % 4 + 1] AS linkage_status, local_path FROM downloaded_records
+      WHERE record_id % 4 < 3 AND trim(coalesce(local_path, '')) <> '' QUALIFY row_number() OVER (PARTITION BY record_type, name ORDER BY record_id % 4, record_id) = 1""",
     "link_coverage_summary": f"WITH {_COVER} SELECT coalesce(dataset_tier, 'all') AS dataset_tier, count(*) AS pairs, count(*) FILTER (host_exact) AS hosts_exact, count(*) FILTER (phage_linked) AS phages_linked FROM tiers GROUP BY ROLLUP (dataset_tier)",
     "efficiency_classes": f"""WITH x AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <= 4 THEN CAST(l_discount AS DOUBLE) WHEN l_linenumber >= 7 THEN CAST('5e-' || l_partkey AS DOUBLE) END AS v FROM lineitem), y AS (SELECT *, {_CLASS} AS c FROM x)
       SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN '=' WHEN 2 THEN '<' WHEN 3 THEN '<=' WHEN 4 THEN '=' WHEN 5 THEN 'range' WHEN 6 THEN 'not_reported' ELSE '>=' END AS relation, c AS efficiency_class,

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arrayloom.functions.dna import reverse_complement
-from arrayloom.operators import detect, evidence, matching, pam
+from arrayloom.operators import builders, detect, evidence, matching, pam
 from arrayloom.runtime import table, written
 
 CLASSES = 997
@@ -143,6 +143,19 @@ def hit_targeting_features(spark: SparkSession, folder: str) -> DataFrame:
     return evidence.targeting_features(hits)
 
 
+def seq_genome_kmers(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares of 2-mers in all contigs of a strain."""
+    rows = builders.genome_kmers(bacteria(spark, folder), "bacterium", 2)
+    return rows.select("bacterium", "bases", "gc_percent", F.explode("shares").alias("kmer", "share"))
+
+
+def seq_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Arrays, spacers and bases per strain, from detection on."""
+    arrays = _arrays(spark, folder).groupBy("genome_id").agg(F.count("*").alias("arrays"), F.sum(F.size("spacers")).alias("spacers"))
+    rows = bacteria(spark, folder).join(arrays, "genome_id", "left")
+    return rows.groupBy("bacterium").agg(F.count("*").alias("records"), F.sum(F.length("sequence")).alias("bases"), F.coalesce(F.sum("arrays"), F.lit(0)).alias("arrays"), F.coalesce(F.sum("spacers"), F.lit(0)).alias("spacers"))
+
+
 def detected_matrix(spark: SparkSession, folder: str) -> DataFrame:
     """The whole way: detection, exact matching, annotation, scored pairs."""
     arrays = written(detect.spacer_table(_arrays(spark, folder)), "spacers")
@@ -154,7 +167,7 @@ def detected_matrix(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (seq_arrays, seq_spacers, hit_exact, hit_fuzzy, hit_flanks, pam_evaluations, hit_annotated, pam_subtype_support, matrix_pairs, matrix_evidence, matrix_top_pairs, matrix_heatmap, hit_targeting_features, detected_matrix)
+    for f in (seq_arrays, seq_spacers, hit_exact, hit_fuzzy, hit_flanks, pam_evaluations, hit_annotated, pam_subtype_support, matrix_pairs, matrix_evidence, matrix_top_pairs, matrix_heatmap, hit_targeting_features, seq_genome_kmers, seq_composition, detected_matrix)
 }
 
 _DNA = "translate(md5({0}), '0123456789abcdef', 'ACGTACGTACGTACGT')"
@@ -269,6 +282,12 @@ _FUZZY = f"""{DATA_SQL}, cand AS (SELECT spacer_id, phage_id, phage, query, stra
 ORACLE = {
     "seq_arrays": f"WITH {_ARRAYS} SELECT array_id, genome_id, start, \"end\", repeat_consensus, repeat_length, repeat_count, array_to_string(spacers, ',') AS spacers, list_sum(list_transform(spacers, lambda s: length(s))) / len(spacers) AS mean_spacer_length FROM arrays",
     "seq_spacers": f"WITH {_ARRAYS}, s AS (SELECT array_id, genome_id, unnest(range(1, len(spacers) + 1)) AS spacer_index, unnest(spacers) AS spacer FROM arrays) SELECT array_id || '|spacer_' || spacer_index AS spacer_id, array_id, genome_id, spacer_index, spacer, length(spacer) AS spacer_length FROM s",
+    "seq_genome_kmers": f"""WITH {DATA_SQL}, recs AS (SELECT bacterium, fa || r || s1 || r || s2 || r || s3 || r || fz AS s FROM bact),
+      k AS (SELECT bacterium, kmer, count(*) AS n FROM (SELECT bacterium, unnest(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))) AS kmer FROM recs) GROUP BY ALL),
+      z AS (SELECT bacterium, CAST(sum(length(s)) AS BIGINT) AS bases, round_even(sum(length(s) - length(translate(s, 'GC', ''))) * 100 / sum(length(s)) * 1000000.0, 0) / 1000000.0 AS gc_percent FROM recs GROUP BY 1)
+      SELECT bacterium, bases, gc_percent, kmer, round_even(n / sum(n) OVER (PARTITION BY bacterium) * 100000000.0, 0) / 100000000.0 AS share FROM k JOIN z USING (bacterium)""",
+    "seq_composition": f"""WITH {_ARRAYS}, per AS (SELECT genome_id, count(*) AS a, sum(len(spacers)) AS n FROM arrays GROUP BY 1)
+      SELECT bacterium, count(*) AS records, CAST(sum(length(fa || r || s1 || r || s2 || r || s3 || r || fz)) AS BIGINT) AS bases, CAST(coalesce(sum(a), 0) AS BIGINT) AS arrays, CAST(coalesce(sum(n), 0) AS BIGINT) AS spacers FROM bact LEFT JOIN per USING (genome_id) GROUP BY 1""",
     "hit_exact": f"WITH {_HITS} SELECT spacer_id, phage_id, strand, start, \"end\" FROM hits",
     "hit_fuzzy": f"WITH {_FUZZY} SELECT * EXCLUDE (phage) FROM fuzzy",
     "hit_flanks": f"WITH {_HITS} SELECT spacer_id, phage_id, strand, start, protospacer, up AS genomic_upstream, down AS genomic_downstream, flank_5p, flank_3p FROM placed",
