@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 from arrayloom.llm.arrays import bases, genome_key, same_bases, subtype
 from arrayloom.llm.classes import members_of, with_members
 from arrayloom.llm.components import components
+from arrayloom.llm.overlap import chunks, every_offset
 from arrayloom.runtime import discard, written
 
 NEAR = 50
+# Buckets of starts with more classes than this are joined on chunks of the repeats as well.
+CROWD = 200
 FALSE_VALUES = 10  # equally likely wrong values per field
 COPY_PRIOR, COPY_RATE = 0.2, 0.8
 FIRST_ACCURACY, ROUNDS = 0.8, 3
@@ -42,17 +45,42 @@ def near_pairs(classes: DataFrame, within: int = NEAR) -> DataFrame:
     """(a, b): pairs of different classes in one genome with the same repeat that start at most so many places apart.
 
     Starts are laid into buckets one place wider than the distance, so that
-    partners are in the same bucket or the next one.
+    partners are in the same bucket or the next one. Classes in a crowded bucket
+    are not compared with all of it but joined on chunks of their repeats too,
+    which loses no pair.
     """
     width = within + 1
-    bucket = F.floor(F.col("start") / width)
-    left = classes.select(F.col("class_id").alias("a"), "genome", bucket.alias("bucket"), F.col("start").alias("sa"), F.col("bases").alias("ba"))
-    right = classes.select(
-        F.col("class_id").alias("b"), "genome", bucket.alias("own"), F.explode(F.array(bucket, bucket - 1)).alias("bucket"), F.col("start").alias("sb"), F.col("bases").alias("bb")
-    )
-    once = (F.col("own") > F.col("bucket")) | (F.col("a") < F.col("b"))
-    joined = left.join(right, ["genome", "bucket"]).filter(once & (F.abs(F.col("sa") - F.col("sb")) <= within))
-    return joined.filter(same_bases(F.col("ba"), F.col("bb"))).select("a", "b")
+    placed = classes.select("class_id", "genome", F.floor(F.col("start") / width).alias("own"), "start", "bases")
+    crowded = written(placed.groupBy("genome", "own").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("genome", "own"), "crowded")
+    if crowded.isEmpty():
+        return _checked(_bucket_pairs(placed), within)
+    marked = written(placed.join(crowded.withColumn("hot", F.lit(True)), ["genome", "own"], "left").fillna(False, ["hot"]), "marked")
+    calm = _bucket_pairs(marked.filter("not hot"))
+    beside = crowded.select("genome", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)).alias("own")).distinct()
+    busy = marked.join(beside, ["genome", "own"], "left_semi")
+
+    def cell(bucket: Column) -> Column:
+        return F.concat_ws(":", "genome", bucket.cast("string")).alias("genome")
+
+    left = chunks(busy.select("class_id", cell(F.col("own")), F.col("bases").alias("text"))).select(F.col("class_id").alias("a"), "digest")
+    right = busy.select("class_id", "genome", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)).alias("own"), "bases")
+    right = every_offset(right.select("class_id", cell(F.col("own")), F.col("bases").alias("text"))).select(F.col("class_id").alias("b"), "digest")
+    met = left.join(right, "digest").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one = busy.select(F.col("class_id").alias("a"), F.col("genome").alias("ga"), F.col("start").alias("sa"), F.col("bases").alias("ba"), F.col("hot").alias("ha"))
+    two = busy.select(F.col("class_id").alias("b"), F.col("genome").alias("gb"), F.col("start").alias("sb"), F.col("bases").alias("bb"), F.col("hot").alias("hb"))
+    busy_pairs = met.join(one, "a").join(two, "b").filter("ga = gb and (ha or hb)")
+    return _checked(calm, within).unionByName(_checked(busy_pairs, within))
+
+
+def _bucket_pairs(placed: DataFrame) -> DataFrame:
+    """Pairs of classes in the same bucket or neighbouring ones, each once, with starts and repeats."""
+    left = placed.select(F.col("class_id").alias("a"), "genome", F.col("own").alias("bucket"), F.col("start").alias("sa"), F.col("bases").alias("ba"))
+    right = placed.select(F.col("class_id").alias("b"), "genome", "own", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("bucket"), F.col("start").alias("sb"), F.col("bases").alias("bb"))
+    return left.join(right, ["genome", "bucket"]).filter((F.col("own") > F.col("bucket")) | (F.col("a") < F.col("b")))
+
+
+def _checked(pairs: DataFrame, within: int) -> DataFrame:
+    return pairs.filter((F.abs(F.col("sa") - F.col("sb")) <= within) & same_bases(F.col("ba"), F.col("bb"))).select("a", "b")
 
 
 def found(arrays: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from arrayloom.llm import overlap, survivors
@@ -85,7 +86,9 @@ def test_overlap_edge_cases(spark):
     assert 0 < pairs[0].overlap <= 1
 
 
-def test_same_array_pairs(spark):
+@pytest.mark.parametrize("crowd", [200, 2])
+def test_same_array_pairs(spark, monkeypatch, crowd):
+    monkeypatch.setattr(survivors, "CROWD", crowd)
     rows = [(i, "train", rng.choice(["GV00000001", "GW00000001"]), s, rng.choice([None, *range(100, 300, 7)])) for i, s in enumerate(repeats(60)) if s]
     rows += [(900 + i, *rows[i][1:]) for i in range(0, 40, 3)]
     df = spark.createDataFrame([(*r, None, None) for r in rows], SCHEMA)
