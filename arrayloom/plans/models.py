@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from arrayloom.operators import metrics, models, training
 from arrayloom.plans.sequences import DATA_SQL, bacteria
 from arrayloom.plans.training import labelled
-from arrayloom.runtime import shared_folder, table
+from arrayloom.runtime import shared_folder, table, written
 from arrayloom.sources import sequences, sinks
 from arrayloom.streaming import events
 
@@ -22,7 +22,7 @@ KEYWORDS = {"trade": ("market", "price", "wharf"), "council": ("council", "mayor
 
 def _split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     rows = training.frequent_classes(labelled(spark, folder), "cas_subtype", 20).select("row_id", "split", "repeat_sequence", "cas_subtype", "spacer_count")
-    vectors = models.repeat_vectors(rows, "repeat_sequence", "cas_subtype", "spacer_count").select("row_id", "split", "label", "features")
+    vectors = written(models.repeat_vectors(rows, "repeat_sequence", "cas_subtype", "spacer_count").select("row_id", "split", "label", "features"), "vectors")
     return vectors.filter("split = 'train'").drop("split"), vectors.filter("split in ('validation', 'test')").drop("split")
 
 
