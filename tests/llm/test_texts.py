@@ -93,6 +93,17 @@ def test_printed_passages(spark):
     assert {(r.doc_id, r.passage_id) for r in leaks.printed_passages(docs.drop("line_boxes"), given).collect()} <= want
 
 
+def test_runs_go_on_beyond_notices():
+    p = printed.Passage("the wheat over the kosthoal carried after noon this steesttion which the woled market that butter in that report")
+    near = "the wheat over the kosthoal carried|a notice of some words|after noon this steesttion which the|woled market that butter in that report".split("|")
+    assert printed.longest_run(p, [printed.words(x) for x in near]) == 19
+    far = [near[0], *["a notice of some words"] * 20, *near[2:]]
+    assert printed.longest_run(p, [printed.words(x) for x in far]) == 19
+    assert printed.longest_run(p, [printed.words(x) for x in [near[0], *["a notice"] * 60, *near[2:]]]) == 13
+    assert printed.longest_run(p, [printed.words(x) for x in (near[0], "and carried", near[3])]) < 15
+    assert printed.longest_run(p, []) == 0
+
+
 def test_svd_matches_numpy(spark):
     a = np.zeros((40, 90))
     rows = []
