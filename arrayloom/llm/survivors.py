@@ -131,7 +131,7 @@ def fuse(records: DataFrame, group: str, source: str, fields: list[str], trust:
     accuracy = claims.select("s").distinct().withColumn("accuracy", F.lit(FIRST_ACCURACY))
     dependence: DataFrame | None = None
     posterior: DataFrame | None = None
-    for _ in range(rounds):
+    for no in range(rounds):
         weighted = claims.join(accuracy, "s").withColumn("vote", F.col("part") * F.log(FALSE_VALUES * F.col("accuracy") / (1 - F.col("accuracy"))))
         if dependence is not None:
             # votes count in falling order of accuracy; each is discounted by the chance that it was copied from one before it
@@ -148,6 +148,8 @@ def fuse(records: DataFrame, group: str, source: str, fields: list[str], trust:
         if posterior is not None:
             discard(posterior)
         posterior = written(new.withColumn("is_best", best == 1), "posterior")
+        if no == rounds - 1:
+            break
         judged = claims.join(posterior.select("g", "field", "value", "posterior", "is_best"), ["g", "field", "value"])
         accuracy = written(
             judged.groupBy("s").agg(F.least(F.greatest(F.sum(F.col("posterior") * F.col("part")) / F.sum("part"), F.lit(0.05)), F.lit(0.99)).alias("accuracy")), "accuracy"
