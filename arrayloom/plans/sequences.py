@@ -3,7 +3,7 @@
 The registry names bacterial and phage records but holds no sequences, so they
 are spelt from digests of its ids, by expressions that Spark and the checking
 SQL both understand: a bacterium has one array of four repeats and three
-spacers, shared within a class of records, and a phage of the class carries
+spacers, shared within a class of records, and a phage of the class (its id is one less) carries
 these spacers forwards, backwards and with two exchanged bases.
 """
 
@@ -43,7 +43,7 @@ def bacteria(spark: SparkSession, folder: str) -> DataFrame:
 def phages(spark: SparkSession, folder: str) -> DataFrame:
     """(phage_id, phage_contig, record_no, sequence, phage) of phage records."""
     rid = F.col("record_id")
-    cls = rid % CLASSES
+    cls = (rid + 1) % CLASSES
     one, two, three = (dna(_join("c", cls, "s", F.lit(i))) for i in (1, 2, 3))
     worn = F.concat(F.substring(three, 1, 11), F.translate(F.substring(three, 12, 1), "ACGT", "CGTA"), F.substring(three, 13, 9), F.translate(F.substring(three, 22, 1), "ACGT", "CGTA"), F.substring(three, 23, 10))
     sequence = F.concat(dna(_join("f", rid)), one, dna(_join("g", rid)), reverse_complement(two), dna(_join("h", rid)), worn, dna(_join("i", rid)))
@@ -178,6 +178,7 @@ def _d(expr: str) -> str:
 
 
 _S = [_d(f"'c' || (record_id % {CLASSES}) || 's{i}'") for i in (1, 2, 3)]
+_P = [_d(f"'c' || ((record_id + 1) % {CLASSES}) || 's{i}'") for i in (1, 2, 3)]
 _R = f"substr({_d(chr(39) + 'r' + chr(39) + ' || (record_id % 5)')}, 1, 28)"
 
 
@@ -192,8 +193,8 @@ def _even(x: str, digits: int) -> str:
 DATA_SQL = f"""bact AS (SELECT record_id, 'b' || record_id AS genome_id, 'strain_' || (record_id % 40) AS bacterium, {_S[0]} AS s1, {_S[1]} AS s2, {_S[2]} AS s3, {_R} AS r,
     {_d("'a' || record_id")} AS fa, {_d("'z' || record_id")} AS fz FROM downloaded_records WHERE record_type = 'bacterium'),
   phag AS (SELECT 'p' || record_id AS phage_id, 'clade_' || (record_id % 30) AS phage,
-    {_d("'f' || record_id")} || {_S[0]} || {_d("'g' || record_id")} || {_rc(_S[1])} || {_d("'h' || record_id")}
-    || substr({_S[2]}, 1, 11) || translate(substr({_S[2]}, 12, 1), 'ACGT', 'CGTA') || substr({_S[2]}, 13, 9) || translate(substr({_S[2]}, 22, 1), 'ACGT', 'CGTA') || substr({_S[2]}, 23, 10)
+    {_d("'f' || record_id")} || {_P[0]} || {_d("'g' || record_id")} || {_rc(_P[1])} || {_d("'h' || record_id")}
+    || substr({_P[2]}, 1, 11) || translate(substr({_P[2]}, 12, 1), 'ACGT', 'CGTA') || substr({_P[2]}, 13, 9) || translate(substr({_P[2]}, 22, 1), 'ACGT', 'CGTA') || substr({_P[2]}, 23, 10)
     || {_d("'i' || record_id")} AS seq FROM downloaded_records WHERE record_type = 'phage'),
   spac AS (SELECT genome_id || '|c1|array_1' AS array_id, genome_id || '|c1|array_1|spacer_' || i AS spacer_id, record_id, bacterium, spacer
     FROM (SELECT *, unnest([1, 2, 3]) AS i, unnest([s1, s2, s3]) AS spacer FROM bact)),
