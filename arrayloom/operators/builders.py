@@ -14,6 +14,9 @@ COLUMNS = [
 ]
 
 
+MAX_PROFILES = 10_000
+
+
 def _text(c: str) -> Column:
     return F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
 
@@ -136,10 +139,12 @@ def fragmented(records: DataFrame, most: int = 1000, ambiguous: float = 0.05, sh
 def matching_profiles(records: DataFrame, text: str, profiles: DataFrame) -> DataFrame:
     """records with the one profile whose every group has a term in the text; records of none or several profiles are left out.
 
-    profiles: profile, groups (array of arrays of terms). They are few: the text is tried against each.
+    profiles: profile, groups (array of arrays of terms). The text is tried against each, so they must be few.
     """
+    if profiles.count() > MAX_PROFILES:
+        raise ValueError(f"more than {MAX_PROFILES} profiles")
     lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
-    each = records.withColumn("_t", lowered).crossJoin(F.broadcast(profiles.select("profile", "groups").limit(10_000)))
+    each = records.withColumn("_t", lowered).crossJoin(F.broadcast(profiles.select("profile", "groups")))
     fits = each.filter(F.forall("groups", lambda g: F.exists(g, lambda t: F.contains(F.col("_t"), F.lower(t)))))
     alone = F.count("*").over(Window.partitionBy(*records.columns))
     return fits.withColumn("_n", alone).filter("_n = 1").drop("_n", "_t", "groups")
