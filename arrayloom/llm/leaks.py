@@ -25,7 +25,6 @@ MAX_PASSAGES = 20_000
 DIMS = 512
 STEP, STEPS = 6, 5  # windows of STEPS * STEP words begin every STEP words
 COSINE = 0.3
-BESIDE = 60  # lines next to a window in which the rest of the passage is looked for
 
 
 class Features:
@@ -192,23 +191,21 @@ def _printed_on(lines, known, features, idf, adds, least, cosine, min_run):
     if n < min_run:
         return
     w, pair = features.of([t for line in lines for t in line])
-    line_of = np.repeat(np.arange(len(lines)), sizes)
     weight = np.where(pair >= 0, idf[pair] ** 2, 0.0)
     upto = np.r_[0.0, np.cumsum(weight)]
     norm = np.r_[0.0, np.cumsum(weight + np.where(w >= 0, idf[w] ** 2, 0.0))]
     begin = np.arange(0, max(1, n - STEPS * STEP + STEP), STEP)
     end = np.minimum(begin + STEPS * STEP, n)
     chosen = np.flatnonzero(upto[end] - upto[begin] >= least)
-    best: dict[int, tuple[float, int, int]] = {}
+    best: dict[int, float] = {}
     for a, b in zip(begin[chosen], end[chosen]):
         ids = np.concatenate([w[a:b], pair[a:b]])
         like = adds[ids[ids >= 0]].sum(axis=0) / np.sqrt(norm[b] - norm[a])
         for p in np.flatnonzero(like >= cosine):
-            old = best.get(p, (0.0, a, b))
-            best[p] = (max(old[0], float(like[p])), min(old[1], a), max(old[2], b))
-    for p, (like, a, b) in best.items():
-        near = lines[max(0, line_of[a] - BESIDE) : line_of[b - 1] + 1 + BESIDE]
-        run = longest_run(known[p][1], near)
+            best[p] = max(best.get(p, 0.0), float(like[p]))
+    for p, like in best.items():
+        # the rest of the passage may stand anywhere on the page
+        run = longest_run(known[p][1], lines, None)
         if run >= min_run:
             yield known[p][0], run, like
 

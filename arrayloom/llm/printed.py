@@ -95,16 +95,20 @@ class Passage:
             self.at.setdefault(w, []).append(i)
 
 
-# So many lines of adverts and notices may stand between two lines of a passage in its column; farther off, only a
-# stretch of some agreeing words that takes up exactly where another such one left off goes on with it.
+# Up to so many lines of adverts and notices may stand between two lines of a passage whatever they hold of it. Farther
+# off, chance agrees too: there a part of a chain must have some agreeing words, over as many lines as it takes, and
+# where neither of the two lines that meet has as many, the first part ends its line and the second begins its line,
+# as whole lines stand between. FAR_BETWEEN lines apart at most, unless longest_run is asked for all.
 LINES_BETWEEN = 6
 FAR_BETWEEN, FAR_WORDS = 40, 4
-# A stretch counts if its agreeing words have so many letters.
+# A stretch counts if its agreeing words have so many letters, or if they are all of a line of two words or more.
 LEAST_LETTERS = 7
 
 
-def fragments(passage: Passage, line: list[str]) -> list[tuple[int, int, int]]:
-    """(begin, end, words that agree) of the passage's stretches that a line prints, end excluded.
+def fragments(passage: Passage, line: list[str]) -> list[tuple[int, int, int, bool, bool]]:
+    """(begin, end, words that agree, whether it begins the line, whether it ends it) of the passage's stretches that a line prints, end excluded.
+
+    One unreadable word before or behind a stretch counts as its own line's edge.
 
     Words that agree start a diagonal where they are two or one long word; it
     is stretched over damaged words, one unreadable word at a time.
@@ -136,7 +140,8 @@ def fragments(passage: Passage, line: list[str]) -> list[tuple[int, int, int]]:
                     good += 1
                 j += step
             a, b = (reached, b) if step < 0 else (a, reached)
-        if sum(len(line[j]) for j in range(a, b + 1) if j in at or alike(line[j], p[j + d])) < LEAST_LETTERS:
+        letters = sum(len(line[j]) for j in range(a, b + 1) if j in at or alike(line[j], p[j + d]))
+        if letters < LEAST_LETTERS and not 1 < n == good == b - a + 1:
             continue
         # the other half of a word that is broken at the line's end or beginning
         begin, end = a + d, b + d + 1
@@ -144,7 +149,7 @@ def fragments(passage: Passage, line: list[str]) -> list[tuple[int, int, int]]:
             end += 1
         if a == 1 and begin > 0 and _ends(p[begin - 1], line[0]):
             begin -= 1
-        out.append((begin, end, good))
+        out.append((begin, end, good, a <= 1, b >= n - 2))
     return out
 
 
@@ -156,39 +161,50 @@ def _ends(word: str, half: str) -> bool:
     return 0 < len(half) < len(word) and alike(word[-len(half) :], half)
 
 
-def longest_run(passage: Passage, lines: list[list[str]]) -> int:
+def longest_run(passage: Passage, lines: list[list[str]], between: int | None = FAR_BETWEEN) -> int:
     """How many consecutive words of the passage the lines print.
 
     The stretches that lines print are chained where one takes up where the
-    other left off, at most one word lost between them, and not too many lines
-    stand between. The result is the number of words from the beginning to the
-    end of the longest chain in which four of five words agree.
+    other left off, at most one word lost between them; at most `between` lines
+    stand between, with None any number. The result is the number of words from
+    the beginning to the end of the longest chain in which four of five words
+    agree.
     """
     best = 0
-    # passage position -> (words in the chain that ends there, those that agree, line)
-    near: dict[int, tuple[int, int, int]] = {}
-    far: dict[int, tuple[int, int, int]] = {}
+    # By the passage position where chains end, then by those where chain and last part begin: (words that agree in the
+    # chain, in the part, line). Parts are what lines near one another print.
+    near: dict[int, dict[tuple[int, int], tuple[int, int, int]]] = {}
+    edge: dict[int, dict[tuple[int, int], tuple[int, int, int]]] = {}  # sound parts that end their line
+    firm: dict[int, dict[tuple[int, int], tuple[int, int, int]]] = {}  # sound parts whose last line has FAR_WORDS
 
-    def keep(ends, most, end, chain):
-        old = ends.get(end)
-        if not old or old[0] <= chain[0] or chain[2] - old[2] > most:
-            ends[end] = chain
+    def keep(ends, most, end, begins, chain):
+        old = ends.setdefault(end, {}).get(begins)
+        if not old or old[0] <= chain[0] or (most is not None and chain[2] - old[2] > most):
+            ends[end][begins] = chain
 
     for no, line in enumerate(lines):
         new = []
-        for begin, end, good in fragments(passage, line):
-            longest, agree = end - begin, good
-            befores = [(over, near.get(begin - over), LINES_BETWEEN) for over in (0, 1, -1)]
-            if good >= FAR_WORDS:
-                befores.append((0, far.get(begin), FAR_BETWEEN))
-            for over, before, most in befores:
-                if before and no - before[2] <= most and before[0] + over + end - begin > longest:
-                    longest, agree = before[0] + over + end - begin, before[1] + good
-            new.append((end, good, (longest, agree, no)))
-            if agree * 5 >= longest * 4:
-                best = max(best, longest)
-        for end, good, chain in new:
-            keep(near, LINES_BETWEEN, end, chain)
+        for begin, end, good, begins, ends in fragments(passage, line):
+            befores = [(near, over, LINES_BETWEEN) for over in (0, 1, -1)]
+            if begins:
+                befores += [(edge, over, between) for over in (0, 1, -1)]
             if good >= FAR_WORDS:
-                keep(far, FAR_BETWEEN, end, chain)
+                befores.append((firm, 0, between))
+            chains = {(begin, begin): (good, good)}
+            for table, over, most in befores:
+                for (start, part), (agree, own, at) in table.get(begin - over, {}).items():
+                    if start < begin and (most is None or no - at <= most):
+                        key, own = ((start, part), own + good) if table is near else ((start, begin), good)
+                        chains[key] = max(chains.get(key, (0, 0)), (agree + good, own))
+            for (start, part), (agree, own) in chains.items():
+                sound = own >= FAR_WORDS and own * 5 >= (end - part) * 4
+                if (sound or part == start) and agree * 5 >= (end - start) * 4:
+                    best = max(best, end - start)
+                new.append((end, (start, part), good, ends, sound, (agree, own, no)))
+        for end, key, good, ends, sound, chain in new:
+            keep(near, LINES_BETWEEN, end, key, chain)
+            if sound and ends:
+                keep(edge, between, end, key, chain)
+            if sound and good >= FAR_WORDS:
+                keep(firm, between, end, key, chain)
     return best

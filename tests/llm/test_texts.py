@@ -104,6 +104,34 @@ def test_runs_go_on_beyond_notices():
     assert printed.longest_run(p, []) == 0
 
 
+def test_runs_go_on_at_any_distance(spark):
+    own = random.Random(7)
+    p = own.sample(WORDS, 30)
+    notices = [" ".join(own.sample(WORDS, 3)) for _ in range(90)]
+
+    def page(*parts):  # a narrow column with a run of notices between parts
+        out = []
+        for part in parts:
+            out += [*notices, *lines(part, 3)] if out else lines(part, 3)
+        return out
+
+    long = "extraordinarily"
+    broken = [*p[:12], long, *p[13:24]]
+    pages = {
+        1: (p, page(p[:12], p[12:24])),
+        2: (p, page([*p[:11], "xqzxq"], p[12:24])),  # a word misread beyond recognition at the seam
+        3: (broken, page([*p[:12], "extraor-"], ["dinarily", *p[13:24]])),
+        4: (p, page(p[:9], p[9:18], p[18:24])),
+        5: (p, page(p[:13], p[20:])),
+    }
+    for k, (words, text_lines) in pages.items():
+        run = printed.longest_run(printed.Passage(" ".join(words)), [printed.words(x) for x in text_lines], None)
+        assert run == 24 if k < 5 else run < 15, k
+    docs = spark.createDataFrame([(k, "\n".join(x)) for k, (_, x) in pages.items()] + [(k, " ".join(own.sample(WORDS, 40))) for k in range(6, 40)], "doc_id bigint, text string")
+    given = spark.createDataFrame([(1, " ".join(p)), (2, " ".join(broken))], "passage_id bigint, passage_text string")
+    assert {r.doc_id for r in leaks.printed_passages(docs, given).collect()} == {1, 2, 3, 4}
+
+
 def test_svd_matches_numpy(spark):
     a = np.zeros((40, 90))
     rows = []
