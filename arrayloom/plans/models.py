@@ -14,7 +14,7 @@ from arrayloom.runtime import shared_folder, table, written
 from arrayloom.sources import sequences, sinks
 from arrayloom.streaming import events
 
-TREES = 40
+TREES = 400  # of the reference, at each level of the hierarchy
 
 #: Groups of words counted in page lines. Fixed values.
 KEYWORDS = {"trade": ("market", "price", "wharf"), "council": ("council", "mayor", "election"), "ship": ("harbour", "steamer", "cargo")}
@@ -35,7 +35,7 @@ def model_logistic(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def model_hierarchical(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.overall(models.predict_hierarchical(*_split(spark, folder), training.cas_type, "forest", TREES // 2))
+    return metrics.overall(models.predict_hierarchical(*_split(spark, folder), training.cas_type, "forest", TREES))
 
 
 def model_components(spark: SparkSession, folder: str) -> DataFrame:
