@@ -5,6 +5,7 @@ Pure helpers that tasks call for one page at a time.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import numpy as np
@@ -43,23 +44,28 @@ def words(text: str) -> list[str]:
     return skeleton(text).split()
 
 
+# Two blanks also occur within lines; they part columns only on pages that hold wider gaps too.
+_BAR, _GAPS, _WIDE = re.compile(r" \| "), re.compile(r" \| | {2,}"), re.compile(r"\S {3,}\S")
+
+
 def page_lines(text: str, starts=None) -> list[list[str]]:
     """The words of a page's lines, column by column.
 
     starts: where each line's box begins; lines whose boxes begin close to one
     another are a column, columns go from left to right, and lines keep their
-    order within one. Where columns run together in one line with a bar between
-    them, its parts are lines of columns side by side. Without starts, or with
+    order within one. Where columns run together in one line with a bar or wide
+    blanks between them, its parts are lines of columns side by side. Without starts, or with
     another number of them than lines, the scanner's order stays.
     """
     lines = text.split("\n")
     n = len(lines)
+    beside = _GAPS if _WIDE.search(text) else _BAR
     column = np.zeros(n, np.int64)
     if starts is not None and len(starts) == n and n > 1:
         x = np.asarray([s if s is not None else 0 for s in starts])
         by = np.argsort(x, kind="stable")
         column[by] = np.cumsum(np.r_[0, np.diff(x[by]) > COLUMN_GAP])
-    keyed = [(int(c), k, i, part) for i, (c, line) in enumerate(zip(column, lines)) for k, part in enumerate(line.split(" | ") if " | " in line else (line,))]
+    keyed = [(int(c), k, i, part) for i, (c, line) in enumerate(zip(column, lines)) for k, part in enumerate(beside.split(line))]
     keyed.sort(key=lambda x: x[:3])
     return [words(part) for *_, part in keyed]
 
@@ -88,25 +94,38 @@ def alike(a: str, b: str) -> bool:
 class Passage:
     """A passage's words, and where each stands in it."""
 
-    def __init__(self, text: str):
-        self.words = words(text)
+    def __init__(self, text: str | list[str]):
+        self.words = words(text) if isinstance(text, str) else text
         self.at: dict[str, list[int]] = {}
         for i, w in enumerate(self.words):
             self.at.setdefault(w, []).append(i)
+        self.masks = {w: sum(1 << i for i in at) for w, at in self.at.items()}
+
+
+def common_subsequence(passage: Passage, page: list[str]) -> int:
+    """The longest common subsequence of two lists of words, one bit per word of the passage."""
+    masks = passage.masks
+    open_ = all_ = (1 << len(passage.words)) - 1
+    for w in page:
+        mask = masks.get(w)
+        if mask:
+            hit = open_ & mask
+            open_ = ((open_ + hit) | (open_ - hit)) & all_
+    return len(passage.words) - open_.bit_count()
 
 
-# Up to so many lines of adverts and notices may stand between two lines of a passage whatever they hold of it. Farther
-# off, chance agrees too: there a part of a chain must have some agreeing words, over as many lines as it takes, and
-# where neither of the two lines that meet has as many, the first part ends its line and the second begins its line,
-# as whole lines stand between. FAR_BETWEEN lines apart at most, unless longest_run is asked for all.
+# Adverts and notices may stand between two lines of a passage, however many. Up to so many lines, whatever a line holds of
+# the passage takes it up again. Beyond, chance agrees too: there a part of a chain must have some agreeing words or
+# letters, over as many lines as it takes, and where neither of the two lines that meet has as many, the first part ends
+# its line and the second begins its line, as whole lines stand between.
 LINES_BETWEEN = 6
-FAR_BETWEEN, FAR_WORDS = 40, 4
+FAR_WORDS, FAR_LETTERS = 4, 16
 # A stretch counts if its agreeing words have so many letters, or if they are all of a line of two words or more.
 LEAST_LETTERS = 7
 
 
-def fragments(passage: Passage, line: list[str]) -> list[tuple[int, int, int, bool, bool]]:
-    """(begin, end, words that agree, whether it begins the line, whether it ends it) of the passage's stretches that a line prints, end excluded.
+def fragments(passage: Passage, line: list[str]) -> list[tuple[int, int, int, bool, bool, bool]]:
+    """(begin, end, words that agree, whether they can't be chance, whether it begins the line, whether it ends it) of the passage's stretches that a line prints, end excluded.
 
     One unreadable word before or behind a stretch counts as its own line's edge.
 
@@ -149,7 +168,7 @@ def fragments(passage: Passage, line: list[str]) -> list[tuple[int, int, int, bo
             end += 1
         if a == 1 and begin > 0 and _ends(p[begin - 1], line[0]):
             begin -= 1
-        out.append((begin, end, good, a <= 1, b >= n - 2))
+        out.append((begin, end, good, good >= FAR_WORDS or letters >= FAR_LETTERS, a <= 1, b >= n - 2))
     return out
 
 
@@ -161,12 +180,12 @@ def _ends(word: str, half: str) -> bool:
     return 0 < len(half) < len(word) and alike(word[-len(half) :], half)
 
 
-def longest_run(passage: Passage, lines: list[list[str]], between: int | None = FAR_BETWEEN) -> int:
+def longest_run(passage: Passage, lines: list[list[str]]) -> int:
     """How many consecutive words of the passage the lines print.
 
     The stretches that lines print are chained where one takes up where the
-    other left off, at most one word lost between them; at most `between` lines
-    stand between, with None any number. The result is the number of words from
+    other left off, at most one word lost between them; any number of lines may
+    stand between. The result is the number of words from
     the beginning to the end of the longest chain in which four of five words
     agree.
     """
@@ -184,12 +203,12 @@ def longest_run(passage: Passage, lines: list[list[str]], between: int | None =
 
     for no, line in enumerate(lines):
         new = []
-        for begin, end, good, begins, ends in fragments(passage, line):
+        for begin, end, good, firmly, begins, ends in fragments(passage, line):
             befores = [(near, over, LINES_BETWEEN) for over in (0, 1, -1)]
             if begins:
-                befores += [(edge, over, between) for over in (0, 1, -1)]
-            if good >= FAR_WORDS:
-                befores.append((firm, 0, between))
+                befores += [(edge, over, None) for over in (0, 1, -1)]
+            if firmly:
+                befores.append((firm, 0, None))
             chains = {(begin, begin): (good, good)}
             for table, over, most in befores:
                 for (start, part), (agree, own, at) in table.get(begin - over, {}).items():
@@ -197,14 +216,14 @@ def longest_run(passage: Passage, lines: list[list[str]], between: int | None =
                         key, own = ((start, part), own + good) if table is near else ((start, begin), good)
                         chains[key] = max(chains.get(key, (0, 0)), (agree + good, own))
             for (start, part), (agree, own) in chains.items():
-                sound = own >= FAR_WORDS and own * 5 >= (end - part) * 4
+                sound = (own >= FAR_WORDS or firmly) and own * 5 >= (end - part) * 4
                 if (sound or part == start) and agree * 5 >= (end - start) * 4:
                     best = max(best, end - start)
-                new.append((end, (start, part), good, ends, sound, (agree, own, no)))
-        for end, key, good, ends, sound, chain in new:
+                new.append((end, (start, part), firmly, ends, sound, (agree, own, no)))
+        for end, key, firmly, ends, sound, chain in new:
             keep(near, LINES_BETWEEN, end, key, chain)
             if sound and ends:
-                keep(edge, between, end, key, chain)
-            if sound and good >= FAR_WORDS:
-                keep(firm, between, end, key, chain)
+                keep(edge, None, end, key, chain)
+            if sound and firmly:
+                keep(firm, None, end, key, chain)
     return best

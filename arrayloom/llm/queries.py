@@ -76,11 +76,11 @@ def p8_room_used(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks.printed_passages(table(spark, folder, "documents"), table(spark, folder, "eval_passages"))
+    return leaks.passage_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_passages"))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _leaks(spark, folder).select("doc_id", "passage_id")
+    return _leaks(spark, folder).filter("kind = 'printed'").select("doc_id", "passage_id")
 
 
 def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:

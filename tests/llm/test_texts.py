@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from arrayloom.llm import leaks, printed, shared_spans
 
@@ -99,7 +100,7 @@ def test_runs_go_on_beyond_notices():
     assert printed.longest_run(p, [printed.words(x) for x in near]) == 19
     far = [near[0], *["a notice of some words"] * 20, *near[2:]]
     assert printed.longest_run(p, [printed.words(x) for x in far]) == 19
-    assert printed.longest_run(p, [printed.words(x) for x in [near[0], *["a notice"] * 60, *near[2:]]]) == 13
+    assert printed.longest_run(p, [printed.words(x) for x in [near[0], *["a notice"] * 60, *near[2:]]]) == 19
     assert printed.longest_run(p, [printed.words(x) for x in (near[0], "and carried", near[3])]) < 15
     assert printed.longest_run(p, []) == 0
 
@@ -125,7 +126,7 @@ def test_runs_go_on_at_any_distance(spark):
         5: (p, page(p[:13], p[20:])),
     }
     for k, (words, text_lines) in pages.items():
-        run = printed.longest_run(printed.Passage(" ".join(words)), [printed.words(x) for x in text_lines], None)
+        run = printed.longest_run(printed.Passage(" ".join(words)), [printed.words(x) for x in text_lines])
         assert run == 24 if k < 5 else run < 15, k
     docs = spark.createDataFrame([(k, "\n".join(x)) for k, (_, x) in pages.items()] + [(k, " ".join(own.sample(WORDS, 40))) for k in range(6, 40)], "doc_id bigint, text string")
     given = spark.createDataFrame([(1, " ".join(p)), (2, " ".join(broken))], "passage_id bigint, passage_text string")
@@ -151,3 +152,50 @@ def test_words_and_columns():
     assert printed.page_lines("a | x\nd | y", [10, 10]) == [["a"], ["d"], ["x"], ["n"]]
     assert printed.page_lines("a\nd", None) == [["a"], ["d"]]
     assert printed.page_lines("", []) == [[]]
+
+
+def test_blocks_of_passages_and_other_words(spark):
+    own = random.Random(11)
+    passages = [(i, " ".join(own.sample(WORDS, 30))) for i in range(40)]
+    rows, want, told = [], set(), set()
+    for doc in range(60):
+        body = [w for _ in range(5) for w in own.sample(WORDS, 30)]
+        pid, p = passages[doc % 40]
+        w = p.split()
+        if doc % 3 == 0:
+            body[60:60] = w
+            want.add((doc, pid))
+        elif doc % 3 == 1:  # every fourth word is another one
+            body[60:60] = [own.choice(WORDS) + "zz" if i % 4 == 3 else x for i, x in enumerate(w)]
+            told.add((doc, pid))
+        rows.append((doc, "\n".join(lines(body))))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    given = spark.createDataFrame([*passages, passages[0]], "passage_id bigint, passage_text string")
+    for block in (512, 15):
+        got = leaks.passage_leaks(docs, given, block=block).collect()
+        assert {(r.doc_id, r.passage_id) for r in got if r.kind == "printed"} == want
+        other = {(r.doc_id, r.passage_id): r for r in got if r.kind == "paraphrased"}
+        assert set(other) <= told and len(other) >= 0.8 * len(told)
+        assert all(18 <= r.common <= 30 and r.words < 15 and r.answers >= 2 for r in other.values())
+    report = leaks.leak_report(leaks.passage_leaks(docs, given), given.withColumn("task", F.lit("t")).withColumn("eval_split", F.lit("test")).distinct()).collect()
+    assert [(r.passages, r.leaked, r.prints) for r in report] == [(40, len({p for _, p in want}), len(want))]
+
+
+def test_common_subsequence():
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+        return row[-1]
+
+    own = random.Random(3)
+    for _ in range(200):
+        a, b = (own.choices("abcdefg", k=own.randint(1, 12)) for _ in range(2))
+        assert printed.common_subsequence(printed.Passage(a), b) == plain(a, b)
+
+
+def test_wide_gaps_part_columns():
+    assert printed.page_lines("a    x\nd  y", None) == [["a"], ["d"], ["x"], ["n"]]
+    assert printed.page_lines("a  x\nd y", None) == [["a", "x"], ["d", "n"]]
