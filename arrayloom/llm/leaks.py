@@ -32,12 +32,12 @@ from arrayloom.runtime import written
 # Passages of a block, about: 512 of 40 words have some 25,000 features, whose latent vectors take 26 MB.
 BLOCK = 512
 DIMS = 256
-STEP, STEPS = 6, 5  # windows of STEPS * STEP words begin every STEP words
-COSINE = 0.28
+STEP, STEPS = 10, 3  # windows of STEPS * STEP words begin every STEP words, so that each run of 20 words lies in one
+COSINE = 0.25
 LEAST_COMMON = 5  # words that a candidate's document and passage must have in common in one order
 # A passage is told in other words where so much of it is a common subsequence and so many of its rarest words stand near by.
 PARAPHRASE, ANSWER_WORDS, ANSWERED = 0.6, 3, 2
-CHUNK = 20_000  # words whose latent vectors are gathered at a time
+DOCUMENTS, CHUNK = 500, 20_000  # documents searched and words whose latent vectors are gathered at a time
 
 TOKENS = "doc_id bigint, lines array<array<string>>"
 FOUND = "doc_id bigint, passage_id bigint, words int, cosine double, common int, answers int"
@@ -187,7 +187,7 @@ def randomised_svd(rows: DataFrame, n_features: int, dims: int, oversample: int
 class Space:
     """One block's passages in their latent space; tasks compare windows with it."""
 
-    def __init__(self, idf: np.ndarray, latent: np.ndarray, ids: list[int], texts: list[list[str]], vectors: list[tuple[np.ndarray, np.ndarray]], cosine: float):
+    def __init__(self, idf: np.ndarray, seen: np.ndarray, latent: np.ndarray, ids: list[int], texts: list[list[str]], vectors: list[tuple[np.ndarray, np.ndarray]], cosine: float):
         self.features, self.cosine = Features(texts), cosine
         features = self.features
         self.passages = [(i, Passage(t)) for i, t in zip(ids, texts)]
@@ -198,6 +198,8 @@ class Space:
         self.placed = (placed * (whole / kept)[:, None]).astype(np.float32).T.copy()
         self.adds = (idf[:, None] * latent).astype(np.float32)  # what one occurrence of a feature adds to a window
         self.squares = idf**2
+        # what each feature of a window adds to its cosine with a passage before all projection
+        self.exact = [dict(zip(i.tolist(), (w * idf[i] / max(size, 1e-9)).tolist())) for (i, w), size in zip(vectors, whole)]
         most = np.zeros(features.n)
         for i, w in vectors:
             most[i] = np.maximum(most[i], w)
@@ -205,7 +207,7 @@ class Space:
         self.reach = most**2
         self.least = (cosine * whole[whole > 0].min(initial=np.inf)) ** 2
         n = len(features.words)
-        rare = [sorted({int(x) for x in i if x < n and idf[x] > 0}, key=lambda x: -idf[x])[:ANSWER_WORDS] for i, _ in vectors]
+        rare = [sorted({int(x) for x in i if x < n and seen[x]}, key=lambda x: -idf[x])[:ANSWER_WORDS] for i, _ in vectors]
         self.answers = [{features.words[x].as_py() for x in r} for r in rare]
 
     def candidates(self, tokens: pa.Array, ends: np.ndarray, min_run: int) -> dict[tuple[int, int], tuple[float, int]]:
@@ -244,10 +246,17 @@ class Space:
             place = np.searchsorted(steps, np.minimum(wanted, steps[-1]))
             place[(wanted >= end[part][:, None]) | (steps[np.minimum(place, len(steps) - 1)] != wanted)] = len(steps)
             latent = sums[place].sum(axis=1)
-            like = (latent @ self.placed) / np.sqrt(np.maximum(norm[end[part]] - norm[start[part]], 1e-9)).astype(np.float32)[:, None]
-            for i, p in zip(*np.nonzero(like >= self.cosine)):
-                key, value = (int(doc[part[i]]), int(p)), float(like[i, p])
-                if value > best.get(key, (0.0, 0))[0]:
+            norms = np.sqrt(np.maximum(norm[end[part]] - norm[start[part]], 1e-9)).astype(np.float32)
+            last, own_ids = -1, []
+            for i, p in zip(*np.nonzero((latent @ self.placed) / norms[:, None] >= self.cosine)):
+                if i != last:
+                    a, b = start[part[i]], end[part[i]]
+                    last, own_ids = i, [*w[a:b].tolist(), *pair[a:b].tolist()]
+                # the latent product is an estimate: what passes counts with the cosine itself
+                weights = self.exact[p]
+                value = sum(weights.get(x, 0.0) for x in own_ids) / float(norms[i])
+                key = (int(doc[part[i]]), int(p))
+                if value >= self.cosine and value > best.get(key, (0.0, 0))[0]:
                     best[key] = (value, int(first[part[i]] * STEP))
         return best
 
@@ -262,13 +271,13 @@ def _space(pages: DataFrame, passages: DataFrame, dims: int, cosine: float) -> t
     total = counted.pop(-1, 0)
     per = np.zeros(features.n)
     per[list(counted)] = list(counted.values())
-    idf = np.where(per > 0, np.log((total + 1) / (per + 1)) + 1e-3, 0.0)  # what no document holds cannot be found
-    if not idf.any():
+    if not per.any():
         return None
+    idf = np.log((total + 1) / (per + 1)) + 1e-3
     vectors = written(passage_vectors(passages, features, idf), "vectors")
     latent = randomised_svd(vectors.select("ids", "weights"), features.n, min(dims, -(-len(given) // 2)))
     rows = vectors.collect()
-    return idf, latent, [r["passage_id"] for r in rows], [r["words"] for r in rows], [(np.array(r["ids"]), np.array(r["weights"])) for r in rows], cosine
+    return idf, per > 0, latent, [r["passage_id"] for r in rows], [r["words"] for r in rows], [(np.array(r["ids"]), np.array(r["weights"])) for r in rows], cosine
 
 
 def _compared(pages: DataFrame, parts: tuple, min_run: int) -> DataFrame:
@@ -278,14 +287,16 @@ def _compared(pages: DataFrame, parts: tuple, min_run: int) -> DataFrame:
         space = Space(*model.value)
         for batch in batches:
             found = []
-            tokens, ends = _flat(batch.column(1))
-            lines: dict[int, list[list[str]]] = {}
-            for (d, p), (like, at) in sorted(space.candidates(tokens, ends, min_run).items()):
-                if d not in lines:
-                    lines = {d: batch.column(1)[d].as_py()}
-                got = _judged(lines[d], space.passages[p][1], space.answers[p], at, min_run)
-                if got:
-                    found.append((batch.column(0)[d].as_py(), space.passages[p][0], got[0], like, *got[1:]))
+            for first in range(0, batch.num_rows, DOCUMENTS):
+                ids, texts = (c.slice(first, DOCUMENTS) for c in batch.columns)
+                tokens, ends = _flat(texts)
+                lines: dict[int, list[list[str]]] = {}
+                for (d, p), (like, at) in sorted(space.candidates(tokens, ends, min_run).items()):
+                    if d not in lines:
+                        lines = {d: texts[d].as_py()}
+                    got = _judged(lines[d], space.passages[p][1], space.answers[p], at, min_run)
+                    if got:
+                        found.append((ids[d].as_py(), space.passages[p][0], got[0], like, *got[1:]))
             if found:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), kinds)], names=["doc_id", "passage_id", "words", "cosine", "common", "answers"])
