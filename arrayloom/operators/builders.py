@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ COLUMNS = [
 ]
 
 
-MAX_PROFILES = 10_000
+MAX_PROFILES = 1_000
 
 
 def _text(c: str) -> Column:
@@ -139,15 +141,17 @@ def fragmented(records: DataFrame, most: int = 1000, ambiguous: float = 0.05, sh
 def matching_profiles(records: DataFrame, text: str, profiles: DataFrame) -> DataFrame:
     """records with the one profile whose every group has a term in the text; records of none or several profiles are left out.
 
-    profiles: profile, groups (array of arrays of terms). The text is tried against each, so they must be few.
+    profiles: profile, groups (array of arrays of terms). All of them stand
+    beside each record in one row, so their number is checked; repeated records
+    are decided each on its own.
     """
-    if profiles.count() > MAX_PROFILES:
+    given = profiles.select("profile", "groups").limit(MAX_PROFILES + 1).collect()
+    if len(given) > MAX_PROFILES:
         raise ValueError(f"more than {MAX_PROFILES} profiles")
-    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
-    each = records.withColumn("_t", lowered).crossJoin(F.broadcast(profiles.select("profile", "groups")))
-    fits = each.filter(F.forall("groups", lambda g: F.exists(g, lambda t: F.contains(F.col("_t"), F.lower(t)))))
-    alone = F.count("*").over(Window.partitionBy(*records.columns))
-    return fits.withColumn("_n", alone).filter("_n = 1").drop("_n", "_t", "groups")
+    said = F.lower(F.coalesce(F.col(text), F.lit("")))
+    fits = [F.when(reduce(Column.__and__, [reduce(Column.__or__, [F.contains(said, F.lit(t.lower())) for t in g], F.lit(False)) for g in r["groups"]], F.lit(True)), F.lit(r["profile"])) for r in given]
+    found = F.array_compact(F.array(*fits)) if fits else F.array().cast("array<string>")
+    return records.withColumn("_fits", found).filter(F.size("_fits") == 1).withColumn("profile", F.col("_fits")[0]).drop("_fits")
 
 
 def first_accepted(candidates: DataFrame, key: str, order: str, rules: list[tuple[str, Column]]) -> DataFrame:

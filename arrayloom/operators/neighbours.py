@@ -1,8 +1,8 @@
 """Nearest repeats by positional identity: a stated set of queries against all rows, in blocks.
 
-A block of reference rows and a block of queries are compared as one matrix
-product of one-hot coded bases; every block keeps the best and the counts of
-each query, and these are merged by aggregation.
+Equal rows are compared once. A block of references and a block of queries are
+one matrix product of one-hot coded bases; every pair of blocks keeps the best
+and the votes of each query, and these are merged by aggregation.
 """
 
 from __future__ import annotations
@@ -24,6 +24,80 @@ def _coded(texts: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([(chars == ord(c)) for c in CODES], axis=1).astype(np.float32), sizes
 
 
+def _blocked(rows: DataFrame, keys: list[str], block: int, name: str) -> tuple[DataFrame, int]:
+    """rows with a block number, and how many blocks there are; equal keys, which are compared once, share a block."""
+    blocks = max(1, -(-rows.count() // block))
+    return rows.withColumn(name, F.pmod(F.xxhash64(*keys), F.lit(blocks))), blocks
+
+
+def _compare(ref: pd.DataFrame, ask: pd.DataFrame, close: float) -> pd.DataFrame:
+    """Best, second and votes of each query class of one block against the reference classes of another."""
+    columns = ["q_text", "q_key", "ref_id", "label", "best", "second", "votes"]
+    if not len(ref) or not len(ask):
+        return pd.DataFrame(columns=columns)
+    ref = ref.sort_values("ref_id").reset_index(drop=True)
+    many, keys = ref["n"].to_numpy(), ref["array_key"].to_numpy(object)
+    labels, no = np.unique(ref["label"].fillna("").to_numpy(str), return_inverse=True)
+    votes_of = np.zeros((len(ref), len(labels)), np.float32)
+    votes_of[np.arange(len(ref)), no] = many
+    out = []
+    for at in range(0, len(ask), 512):
+        part = ask.iloc[at : at + 512]
+        width = int(max(ref["text"].str.len().max(), part["q_text"].str.len().max()))
+        x, n = _coded(ref["text"], width)
+        y, m = _coded(part["q_text"], width)
+        like = (y @ x.T) / np.maximum(m[:, None], n[None, :])
+        like[part["q_key"].to_numpy(object)[:, None] == keys[None, :]] = -1.0
+        order = np.argmax(like, axis=1)
+        best = like[np.arange(len(part)), order]
+        rest = like.copy()
+        rest[np.arange(len(part)), order] = -1.0
+        # a class of several rows is its own second
+        second = np.where(many[order] > 1, best, rest.max(axis=1))
+        votes = (like >= close - 1e-7).astype(np.float32) @ votes_of
+        some = [{str(labels[j]): int(v[j]) for j in np.flatnonzero(v)} for v in votes]
+        out.append(pd.DataFrame({"q_text": part["q_text"], "q_key": part["q_key"], "ref_id": ref["ref_id"].to_numpy()[order], "label": ref["label"].to_numpy(object)[order], "best": best.astype(float), "second": second.astype(float), "votes": some}))
+    return pd.concat(out)
+
+
+def nearest_classes(asks: DataFrame, refs: DataFrame, close: float, block: int) -> DataFrame:
+    """(q_text, q_key, ref_id, label, best, second, votes) per query class and reference block.
+
+    Equal rows are one class each: queries by text and key, references by text,
+    label and key with their number and least id. Both sides are cut into
+    blocks of about so many classes, and every pair of blocks is one group, so
+    that no task holds more than one block of either side.
+    """
+    questions = asks.select(F.col("text").alias("q_text"), F.coalesce("array_key", F.lit("")).alias("q_key")).distinct()
+    answers = refs.groupBy("text", "label", F.coalesce("array_key", F.lit("")).alias("array_key")).agg(F.count("*").alias("n"), F.min("ref_id").alias("ref_id"))
+    left, q_blocks = _blocked(questions, ["q_text", "q_key"], block, "q_block")
+    right, r_blocks = _blocked(answers, ["text", "label", "array_key"], block, "r_block")
+    number = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    copies = left.withColumn("r_block", number(r_blocks))
+    parts = right.withColumn("q_block", number(q_blocks))
+    pairs = parts.groupBy("q_block", "r_block").cogroup(copies.groupBy("q_block", "r_block"))
+    return pairs.applyInPandas(lambda r, q: _compare(r, q, close), "q_text string, q_key string, ref_id bigint, label string, best double, second double, votes map<string,bigint>")
+
+
+def predicted_subtypes(arrays: DataFrame, training: DataFrame, text: str = "repeat_consensus", block: int = BLOCK) -> DataFrame:
+    """(array_id, cas_subtype, confidence): subtype of the nearest labelled repeat, its identity as confidence.
+
+    training: ref_id, text, label. Of equally near repeats the one with the
+    least ref_id decides. Repeats that training holds letter by letter need no
+    comparison; only the others meet all references, each once however many
+    arrays have it. Arrays without repeat come out with null.
+    """
+    known = training.filter("text <> '' and label <> ''").select("ref_id", F.upper("text").alias("text"), "label")
+    asked = arrays.select("array_id", F.upper(F.col(f"`{text}`")).alias("text"))
+    exact = known.groupBy("text").agg(F.min_by("label", "ref_id").alias("label"))
+    repeats = asked.filter("text <> ''").select("text").distinct()
+    other = repeats.join(exact, "text", "left_anti").withColumn("array_key", F.lit(""))
+    found = nearest_classes(other, known.withColumn("array_key", F.lit("-")), 2.0, block)
+    near = found.filter("best >= 0").groupBy(F.col("q_text").alias("text")).agg(F.min_by(F.struct("label", "best"), F.struct((-F.rint(F.col("best") * 1e6)).alias("minus"), "ref_id")).alias("x"))
+    said = repeats.join(exact, "text").select("text", "label", F.lit(1.0).alias("best")).unionByName(near.select("text", "x.label", "x.best"))
+    return asked.join(said, "text", "left").select("array_id", F.col("label").alias("cas_subtype"), (F.rint(F.col("best") * 1e6) / 1e6).alias("confidence"))
+
+
 def neighbour_features(queries: DataFrame, references: DataFrame, close: float = 0.9, block: int = BLOCK) -> DataFrame:
     """Per query: nearest reference, two best identities, close ones, the share of their commonest label and the entropy of their labels.
 
@@ -33,45 +107,27 @@ def neighbour_features(queries: DataFrame, references: DataFrame, close: float =
     Null and empty texts take no part.
     """
     refs = references.filter("text is not null and text <> ''").select("ref_id", "text", "label", "array_key")
-    asks = queries.filter("text is not null and text <> ''").select("row_id", "text", "array_key")
-    blocks = max(1, -(-refs.count() // block))
-    parts = refs.withColumn("block", F.pmod(F.xxhash64("ref_id"), F.lit(blocks)))
-    # both sides may come from one table, so their columns are told apart by name
-    renamed = asks.select(F.col("row_id").alias("q_row"), F.col("text").alias("q_text"), F.col("array_key").alias("q_key"))
-    copies = renamed.withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-
-    def compare(ref: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        columns = ["row_id", "ref_id", "label", "best", "second", "votes"]
-        if not len(ref) or not len(ask):
-            return pd.DataFrame(columns=columns)
-        ref = ref.sort_values("ref_id").reset_index(drop=True)
-        width = int(max(ref["text"].str.len().max(), ask["q_text"].str.len().max()))
-        x, n = _coded(ref["text"], width)
-        rows = []
-        for at in range(0, len(ask), 512):
-            part = ask.iloc[at : at + 512]
-            y, m = _coded(part["q_text"], width)
-            like = (y @ x.T) / np.maximum(m[:, None], n[None, :])
-            like[part["q_key"].to_numpy(object)[:, None] == ref["array_key"].to_numpy(object)[None, :]] = -1.0
-            order = np.argmax(like, axis=1)
-            best = like[np.arange(len(part)), order]
-            second = np.partition(like, -2, axis=1)[:, -2] if like.shape[1] > 1 else np.full(len(part), -1.0)
-            for i, row_id in enumerate(part["q_row"]):
-                near = ref["label"].to_numpy(object)[like[i] >= close - 1e-7]
-                votes = pd.Series(near).value_counts().to_dict() if len(near) else {}
-                rows.append((row_id, ref["ref_id"].iat[order[i]], ref["label"].iat[order[i]], float(best[i]), float(second[i]), {str(k): int(v) for k, v in votes.items()}))
-        return pd.DataFrame(rows, columns=columns)
-
-    found = parts.groupBy("block").cogroup(copies.groupBy("q_block")).applyInPandas(compare, "row_id bigint, ref_id bigint, label string, best double, second double, votes map<string,bigint>")
+    asks = queries.filter("text is not null and text <> ''").select("row_id", "text", F.coalesce("array_key", F.lit("")).alias("array_key"))
+    classes = nearest_classes(asks, refs, close, block)
+    merged = _merged(classes)
+    rows = asks.join(merged, (F.col("text") == F.col("q_text")) & (F.col("array_key") == F.col("q_key")), "left")
+    return rows.dropDuplicates(["row_id"]).select("row_id", *[c for c in merged.columns if c not in ("q_text", "q_key")]).fillna(0, ["neighbor_close_count_90"]).fillna(
+        0.0, ["neighbor_best_identity", "neighbor_second_identity", "neighbor_top_vote_fraction_90", "neighbor_subtype_entropy_90"]
+    )
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """One row per query class from those of its blocks."""
+    key = ["q_text", "q_key"]
     two = F.slice(F.sort_array(F.flatten(F.collect_list(F.array("best", "second"))), asc=False), 1, 2)
-    near = found.filter("best >= 0").groupBy("row_id").agg(F.min_by(F.struct("ref_id", "label"), F.struct((-F.rint(F.col("best") * 1e6)).alias("minus"), "ref_id")).alias("nearest"), two.alias("two"))
-    votes = found.select("row_id", F.explode("votes").alias("label", "n")).groupBy("row_id", "label").agg(F.sum("n").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("row_id"))
-    share = votes.withColumn("p", F.col("n") / total).groupBy("row_id").agg(F.sum("n").alias("close"), F.max("p").alias("top"), F.sum(-F.col("p") * F.log2("p")).alias("entropy"))
+    near = found.filter("best >= 0").groupBy(*key).agg(F.min_by(F.struct("ref_id", "label"), F.struct((-F.rint(F.col("best") * 1e6)).alias("minus"), "ref_id")).alias("nearest"), two.alias("two"))
+    votes = found.select(*key, F.explode("votes").alias("label", "n")).groupBy(*key, "label").agg(F.sum("n").alias("n"))
+    total = F.sum("n").over(Window.partitionBy(*key))
+    share = votes.withColumn("p", F.col("n") / total).groupBy(*key).agg(F.sum("n").alias("close"), F.max("p").alias("top"), F.sum(-F.col("p") * F.log2("p")).alias("entropy"))
     six = lambda c: F.rint(c * 1e6) / 1e6
     best, second = F.col("two")[0], F.greatest(F.coalesce(F.get("two", F.lit(1)), F.lit(0.0)), F.lit(0.0))
-    return asks.select("row_id").distinct().join(near, "row_id", "left").join(share, "row_id", "left").select(
-        "row_id",
+    return near.join(share, key, "left").select(
+        *key,
         F.col("nearest.ref_id").alias("nearest_ref_id"),
         F.col("nearest.label").alias("nearest_label"),
         F.coalesce(six(best), F.lit(0.0)).alias("neighbor_best_identity"),

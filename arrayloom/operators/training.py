@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from arrayloom.functions.dna import rounded
 
 #: Words that mark a subtype as undecided. Fixed values.
-AMBIGUOUS = ("", "ambiguous", "hybrid", "n/a", "na", "none", "unknown")
+AMBIGUOUS = ("", "ambiguous", "hybrid", "na", "nan", "none", "unknown")
 TRUSTED = ("high", "curated", "cas_operon_supported")
 
 
@@ -128,14 +128,15 @@ def frequent_classes(table: DataFrame, column: str, least: int) -> DataFrame:
 def group_holdout(table: DataFrame, group: str, share: float, seed: int) -> DataFrame:
     """(group, rows, held_out): groups in the order of a digest are held out until share of all rows is reached.
 
-    The group with which the target is crossed is held out too. Groups are few
-    against rows, yet they are summed in one window; rows are not.
+    The group with which the target is crossed is held out too. Sums run over
+    the 4,096 values of a digest's first digits, and within these over groups.
     """
-    sizes = table.groupBy(F.col(group).alias("grp")).agg(F.count("*").alias("rows"))
-    order = Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("grp", F.lit("")))), "grp")
-    total = F.sum("rows").over(Window.partitionBy())
-    before = F.sum("rows").over(order) - F.col("rows")
-    return sizes.withColumn("held_out", before < F.rint(total * share)).select("grp", "rows", "held_out")
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("grp").cast("string"), F.lit(""))))
+    sizes = table.groupBy(F.col(group).alias("grp")).agg(F.count("*").alias("rows")).withColumn("_d", digest).withColumn("_b", F.left("_d", F.lit(3)))
+    per = sizes.groupBy("_b").agg(F.sum("rows").alias("_n"))
+    ahead = per.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_ahead"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    before = F.col("_ahead") + F.sum("rows").over(Window.partitionBy("_b").orderBy("_d", "grp")) - F.col("rows")
+    return sizes.join(ahead, "_b").withColumn("held_out", before < F.rint(F.col("_all") * share)).select("grp", "rows", "held_out")
 
 
 def collapse_spacers(rows: DataFrame, keys: list[str], spacer: str, length: str, least: int = 2) -> DataFrame:

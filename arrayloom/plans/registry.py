@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arrayloom.plans import curated, labels, models, sequences, training
+from arrayloom.plans import curated, interactions, labels, models, sequences, training
 
-_MODULES = [curated, sequences, training, labels, models]
+_MODULES = [curated, sequences, training, labels, interactions, models]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arrayloom.functions import dna
+from arrayloom.functions.labels import subtype
 from arrayloom.operators import intervals, metrics, training
 from arrayloom.operators.neighbours import neighbour_features
 from arrayloom.runtime import table
@@ -19,8 +20,8 @@ def _arrays(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows with a repeat and a decided subtype, in upper case and without blanks around."""
-    rows = _arrays(spark, folder).withColumn("repeat_sequence", F.upper(F.trim("repeat_sequence"))).withColumn("cas_subtype", F.upper(F.trim("cas_subtype")))
+    """Rows with a repeat in upper case and a decided subtype, read as one class however it is written."""
+    rows = _arrays(spark, folder).withColumn("repeat_sequence", F.upper(F.trim("repeat_sequence"))).withColumn("cas_subtype", subtype(F.col("cas_subtype")))
     return training.with_hash(rows.filter(training.is_usable(F.col("repeat_sequence")) & ~training.is_ambiguous(F.col("cas_subtype"))))
 
 
@@ -213,8 +214,10 @@ QUERIES = {
 
 _AMBIGUOUS = "(" + ", ".join(f"'{w}'" for w in training.AMBIGUOUS) + ")"
 _T = "cctyper_validation_repeats_cas_types"
-_LAB = f"""lab AS (SELECT * REPLACE (upper(trim(repeat_sequence)) AS repeat_sequence, upper(trim(cas_subtype)) AS cas_subtype), sha256(upper(trim(repeat_sequence))) AS repeat_hash FROM {_T}
-    WHERE regexp_matches(upper(trim(repeat_sequence)), '^[ACGTN]{{23,47}}$') AND NOT (lower(trim(coalesce(cas_subtype, ''))) IN {_AMBIGUOUS} OR contains(cas_subtype, '/') OR contains(cas_subtype, ','))),
+# A subtype as a list of known numerals and one letter, however it is written.
+_LAB = f"""plain AS (SELECT *, regexp_replace(regexp_replace(upper(trim(cas_subtype)), '[–—]', '-', 'g'), '^(CAS-|TYPE )\\s*', '') AS said FROM {_T}),
+  lab AS (SELECT * EXCLUDE (said) REPLACE (upper(trim(repeat_sequence)) AS repeat_sequence, regexp_extract(said, '^(III|II|IV|VI|I|V)-?([A-Z])$', 1) || '-' || regexp_extract(said, '^(III|II|IV|VI|I|V)-?([A-Z])$', 2) AS cas_subtype),
+    sha256(upper(trim(repeat_sequence))) AS repeat_hash FROM plain WHERE regexp_matches(upper(trim(repeat_sequence)), '^[ACGTN]{{23,47}}$') AND regexp_matches(said, '^(III|II|IV|VI|I|V)-?([A-Z])$')),
   cur AS (SELECT * FROM lab WHERE split = 'train'), cand AS (SELECT * FROM lab WHERE split IN ('validation', 'test')),
   clash AS (SELECT repeat_hash FROM cand GROUP BY 1 HAVING count(DISTINCT cas_subtype) > 1),
   new AS (SELECT * FROM cand WHERE repeat_hash NOT IN (SELECT repeat_hash FROM clash) AND repeat_hash NOT IN (SELECT repeat_hash FROM cur)),
