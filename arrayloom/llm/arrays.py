@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arrayloom.functions.labels import subtype as subtype
 from arrayloom.runtime import table
 
 MAX_EDITS = 2
@@ -45,14 +46,5 @@ def rank(taxonomy: Column, n: int) -> Column:
     return F.when(value != "", value)
 
 
-def subtype(cas_subtype: Column) -> Column:
-    """The subtype as roman numeral, hyphen and letter; null for anything else."""
-    read = F.regexp_replace(F.upper(F.trim(cas_subtype)), "[–—]", "-")
-    read = F.regexp_replace(read, r"^(?:CAS-|TYPE )\s*", "")
-    at = r"^(III|II|IV|VI|I|V)-?([A-Z])$"
-    value = F.concat(F.regexp_extract(read, at, 1), F.lit("-"), F.regexp_extract(read, at, 2))
-    return F.when(value != "-", value)
-
-
 def array_records(spark, folder: str) -> DataFrame:
     return table(spark, folder, "cctyper_validation_repeats_cas_types")

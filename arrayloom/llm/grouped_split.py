@@ -1,9 +1,10 @@
 """Train, validation and test splits in which all bound records fall together.
 
 Components come from hooking and shortcutting over parent tables. The number of
-components of each size is then a small histogram, and subset-sum bitsets over
-the sizes and their multiplicities choose how many components of each size go to
-each split, so that the split totals come closest to the given shares.
+components of each category and size is then a small histogram, and subset-sum
+bitsets over the sizes and their multiplicities choose how many components of
+each size go to each split, so that the split totals come closest to the given
+shares and categories are spread alike.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from arrayloom.llm.components import components
 from arrayloom.runtime import written
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
-# Totals are counted in units of total / UNITS rows: the bitsets stay this long at any number of rows.
+# Totals are counted in units of total / UNITS rows: the bitsets stay about this long at any number of rows, and a second
+# one, in rows, closes the remainder.
 UNITS = 200_000
+LARGE = 1000  # components above this part of all rows are placed one by one
 
 
 def bound_groups(records: DataFrame, row_id: str, bonds: list[str]) -> DataFrame:
@@ -46,102 +49,164 @@ def choose_counts(sizes: list[tuple[int, int]], targets: dict[str, float], unit:
 
     sizes: (size, number of components). The splits choose in turn, smallest
     target first, from what is left. For every size its multiplicity is broken
-    into powers of two; a bitset holds which totals (counted in units of rows)
-    can be reached after each of these items, and walking back from the total
-    closest to the target gives the counts. The largest split takes the rest.
+    into powers of two; a bitset holds which totals can be reached after each of
+    these items, and walking back from the total closest to the target gives the
+    counts. With a unit above one row, totals of most components are counted in
+    units and some of the smallest are held back; a second bitset over these, in
+    rows, closes what rounding left. The largest split takes the rest.
     """
     left = dict(sizes)
     order = sorted(targets, key=lambda s: (targets[s], s))
     chosen: dict[str, dict[int, int]] = {}
     for split in order[:-1]:
-        target = targets[split] / unit
-        bound = int(target * 2) + max(left, default=0) // unit + 1
-        items: list[tuple[int, int, int]] = []
-        for size, many in sorted(left.items()):
-            step = 1
-            while many > 0:
-                take = min(step, many)
-                weight = round(size * take / unit)
-                if weight <= bound:
-                    items.append((weight, size, take))
-                many, step = many - take, step * 2
-        keep = (1 << (bound + 1)) - 1
-        reach = [1]
-        for weight, _, _ in items:
-            reach.append((reach[-1] | reach[-1] << weight) & keep)
-        at = round(target)
-        total = next((t for d in range(bound + 1) for t in (at - d, at + d) if 0 <= t <= bound and reach[-1] >> t & 1), 0)
-        counts: dict[int, int] = {}
-        for k in range(len(items), 0, -1):
-            if not reach[k - 1] >> total & 1:
-                weight, size, take = items[k - 1]
-                counts[size] = counts.get(size, 0) + take
-                total -= weight
-        chosen[split] = counts
-        for size, n in counts.items():
+        back = _held_back(left, unit) if unit > 1 else {}
+        spare = sum(s * n for s, n in back.items())
+        first = _closest({s: n - back.get(s, 0) for s, n in left.items()}, max(0.0, targets[split] - spare / 2), unit)
+        short = targets[split] - sum(s * n for s, n in first.items())
+        second = _closest(back, short, 1) if back and short > 0 else {}
+        chosen[split] = {s: first.get(s, 0) + second.get(s, 0) for s in {*first, *second}}
+        for size, n in chosen[split].items():
             left[size] -= n
     return chosen
 
 
-def grouped_splits(records: DataFrame, row_id: str, bonds: list[str], balance: str, shares: dict[str, float] | None = None) -> DataFrame:
-    """(row_id, group_row_id, split) such that bound rows share a split and the totals come closest to shares.
+def _held_back(left: dict[int, int], unit: int) -> dict[int, int]:
+    """The smallest components, as many as rounding to units may be off over all items."""
+    items = sum(n.bit_length() for n in left.values())
+    wanted, back = 2 * unit * items, {}
+    for size, n in sorted(left.items()):
+        if wanted <= 0:
+            break
+        back[size] = min(n, -(-wanted // size))
+        wanted -= size * back[size]
+    return back
+
+
+def _closest(left: dict[int, int], target: float, unit: int) -> dict[int, int]:
+    """How many components of each size to take so that their total, in units, comes closest to the target."""
+    goal = target / unit
+    bound = int(goal * 2) + max((s for s, n in left.items() if n), default=0) // unit + 1
+    items: list[tuple[int, int, int]] = []
+    for size, many in sorted(left.items()):
+        step = 1
+        while many > 0:
+            take = min(step, many)
+            weight = round(size * take / unit)
+            if weight <= bound:
+                items.append((weight, size, take))
+            many, step = many - take, step * 2
+    keep = (1 << (bound + 1)) - 1
+    reach = [1]
+    for weight, _, _ in items:
+        reach.append((reach[-1] | reach[-1] << weight) & keep)
+    at = round(goal)
+    total = next((t for d in range(bound + 1) for t in (at - d, at + d) if 0 <= t <= bound and reach[-1] >> t & 1), 0)
+    counts: dict[int, int] = {}
+    for k in range(len(items), 0, -1):
+        if not reach[k - 1] >> total & 1:
+            weight, size, take = items[k - 1]
+            counts[size] = counts.get(size, 0) + take
+            total -= weight
+    return counts
+
+
+def place_large(large: dict[int, dict[str, int]], wanted: dict[str, dict[str, float]]) -> dict[int, str]:
+    """A split for each large component (group -> rows per category), the largest first, such that splits come near wanted (split -> category -> rows).
+
+    Each goes where it leaves the least sum of squared distances, every category
+    measured against what it is to hold there.
+    """
+    has = {split: dict.fromkeys(goal, 0) for split, goal in wanted.items()}
+    out: dict[int, str] = {}
+
+    def grows(split: str, rows: dict[str, int]) -> float:
+        # the total counts like a category, so that a split isn't filled by components of rare categories
+        per = [((has[split].get(c, 0) + n - wanted[split].get(c, 0.0)) ** 2 - (has[split].get(c, 0) - wanted[split].get(c, 0.0)) ** 2) / max(wanted[split].get(c, 0.0), 1.0) for c, n in rows.items()]
+        goal, own, more = sum(wanted[split].values()), sum(has[split].values()), sum(rows.values())
+        return sum(per) + ((own + more - goal) ** 2 - (own - goal) ** 2) / max(goal, 1.0)
 
-    balance: a category over which the splits are spread: among components of
-    one size those chosen for a split are taken evenly along the order of their
-    commonest category. A component larger than a split's share goes to a split
-    that holds it, so the shares can be missed where the bonds leave no choice;
-    compare with split_report. Null categories are a category of their own.
+    for group, rows in sorted(large.items(), key=lambda x: (-sum(x[1].values()), x[0])):
+        split = min(wanted, key=lambda s: (grows(s, rows), s))
+        out[group] = split
+        for c, n in rows.items():
+            has[split][c] = has[split].get(c, 0) + n
+    return out
+
+
+def grouped_splits(records: DataFrame, row_id: str, bonds: list[str], balance: str, shares: dict[str, float] | None = None) -> DataFrame:
+    """(row_id, group_row_id, split) such that bound rows share a split, the totals come closest to shares, and categories are spread alike.
+
+    balance: the category. Components above a thousandth of all rows, of which
+    there are a thousand at most, are placed one by one by their rows per
+    category. Smaller ones are chosen category by category (the commonest one of
+    each), rarest first: subset-sum bitsets over their sizes bring each category
+    closest to its part of every split, and the commonest category brings the
+    totals closest. A component larger than a split's share goes to a split that
+    holds it, so shares can be missed where the bonds leave no choice; compare
+    with split_report. Null categories are a category of their own. Categories
+    are expected to be few, as their counts are collected.
     """
     shares = shares or SHARES
-    groups = bound_groups(records, row_id, bonds)
+    groups = written(bound_groups(records, row_id, bonds), "groups")
     category = records.select(F.col(f"`{row_id}`").alias("row_id"), F.coalesce(F.col(f"`{balance}`"), F.lit("")).alias("category"))
-    per = groups.join(category, "row_id").groupBy("group_row_id", "category").agg(F.count("*").alias("n"))
+    per = written(groups.join(category, "row_id").groupBy("group_row_id", "category").agg(F.count("*").alias("n")), "per")
     comps = per.groupBy("group_row_id").agg(F.sum("n").alias("size"), F.max_by("category", F.struct("n", "category")).alias("category"))
-    # distinct sizes grow as the square root of the rows, so the histogram is small
-    histogram = [(r["size"], r["many"]) for r in comps.groupBy("size").agg(F.count("*").alias("many")).collect()]
-    total = sum(s * m for s, m in histogram)
-    unit = max(1, -(-total // UNITS))
-    chosen = choose_counts(histogram, {k: v * total for k, v in shares.items()}, unit)
+    totals = {r["category"]: r["n"] for r in per.groupBy("category").agg(F.sum("n").alias("n")).collect()}
+    total = sum(totals.values())
+    least = total // LARGE + 1
+    large: dict[int, dict[str, int]] = {}
+    for r in per.join(comps.filter(F.col("size") >= least).select("group_row_id"), "group_row_id", "left_semi").collect():
+        large.setdefault(r["group_row_id"], {})[r["category"]] = r["n"]
+    wanted = {s: {c: share * n for c, n in totals.items()} for s, share in shares.items()}
+    placed = place_large(large, wanted)
+    # distinct sizes grow as the square root of the rows, so the histograms are small
+    small = comps.filter(F.col("size") < least)
+    histogram: dict[str, list[tuple[int, int]]] = {}
+    for r in small.groupBy("category", "size").agg(F.count("*").alias("many")).collect():
+        histogram.setdefault(r["category"], []).append((r["size"], r["many"]))
+    got = {s: dict.fromkeys(totals, 0.0) for s in shares}
+    for group, split in placed.items():
+        for c, n in large[group].items():
+            got[split][c] += n
     biggest = max(shares, key=lambda s: (shares[s], s))
-    rows = [(size, split, n) for split, counts in chosen.items() for size, n in counts.items()]
+    rows: list[tuple[str, int, str, int]] = []
+    order = sorted(histogram, key=lambda c: (sum(s * m for s, m in histogram[c]), c))
+    for c in order:
+        have = sum(s * m for s, m in histogram[c])
+        if c == order[-1]:
+            goals = {s: max(0.0, share * total - sum(got[s].values())) for s, share in shares.items()}
+        else:
+            goals = {s: max(0.0, wanted[s][c] - got[s][c]) for s in shares}
+        # what is over or short of all goals falls to the largest split
+        goals[biggest] = max(0.0, have - sum(v for s, v in goals.items() if s != biggest))
+        chosen = choose_counts(histogram[c], {**goals, biggest: max(goals[biggest], *goals.values()) + 1}, max(1, -(-have // UNITS)))
+        for split, counts in chosen.items():
+            got[split][c] += sum(s * n for s, n in counts.items())
+            rows += [(c, size, split, n) for size, n in counts.items() if n > 0]
+        got[biggest][c] += have - sum(s * n for counts in chosen.values() for s, n in counts.items())
     spark = records.sparkSession
-    quota = spark.createDataFrame(rows, "size bigint, split string, quota bigint")
-    return groups.join(_assigned(comps, quota, biggest), "group_row_id").select("row_id", "group_row_id", "split")
+    quota = spark.createDataFrame(rows, "category string, size bigint, split string, quota bigint")
+    one_by_one = spark.createDataFrame(list(placed.items()), "group_row_id bigint, split string")
+    assigned = _assigned(small, quota, biggest).unionByName(one_by_one)
+    return groups.join(assigned, "group_row_id").select("row_id", "group_row_id", "split")
 
 
 def _assigned(comps: DataFrame, quota: DataFrame, rest: str) -> DataFrame:
-    """(group_row_id, split): within each size, quota components per split, spread over the categories.
+    """(group_row_id, split): of each category and size, quota components per split in the order of a hash, the rest to one split.
 
-    The place of a component among those of its size comes in two steps, so that
-    no task sorts all components of one size: places are counted per category
-    and hash bucket, and numbered within the bucket only.
+    The place of a component comes in two steps, so that no task sorts all
+    components of one size: places are counted per hash bucket, and numbered
+    within the bucket only.
     """
-    bucket = F.pmod(F.xxhash64("group_row_id"), F.lit(1024))
-    dealt = comps.withColumn("bucket", bucket)
-    counts = dealt.groupBy("size", "category", "bucket").agg(F.count("*").alias("n"))
-    running = Window.partitionBy("size").orderBy("category", "bucket")
-    offsets = counts.withColumn("before", F.sum("n").over(running) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy("size")))
-    within = Window.partitionBy("size", "category", "bucket").orderBy(F.xxhash64("group_row_id"), "group_row_id")
-    placed = dealt.withColumn("place", F.row_number().over(within)).join(offsets.drop("n"), ["size", "category", "bucket"])
-    place = F.col("before") + F.col("place") - 1
-    spans = quota.withColumn("upto", F.sum("quota").over(Window.partitionBy("size").orderBy("split"))).groupBy("size").agg(
-        F.sort_array(F.collect_list(F.struct("upto", "split"))).alias("spans")
-    )
-    # a stride coprime to the number of components walks through all of them, each split taking an even spread of it
-    stride = F.greatest(F.lit(1), F.floor(F.col("all") * 0.6180339887498949))
-    coprime = F.aggregate(
-        F.sequence(F.lit(0), F.lit(60)), F.lit(0).cast("bigint"), lambda acc, i: F.when((acc == 0) & (_gcd(stride + i, F.col("all")) == 1), stride + i).otherwise(acc)
-    )
-    walked = F.pmod(place * F.col("stride"), F.col("all"))
-    joined = placed.withColumn("stride", F.greatest(coprime, F.lit(1))).withColumn("walked", walked).join(spans, "size", "left")
-    mine = F.filter("spans", lambda s: F.col("walked") < s["upto"])
-    return joined.select("group_row_id", F.coalesce(F.get(mine, F.lit(0))["split"], F.lit(rest)).alias("split"))
-
-
-def _gcd(a, b):
-    pair = F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b"))
-    ended = F.aggregate(F.sequence(F.lit(1), F.lit(64)), pair, lambda p, _: F.when(p["b"] == 0, p).otherwise(F.struct(p["b"].alias("a"), F.pmod(p["a"], F.greatest(p["b"], F.lit(1))).alias("b"))))
-    return ended["a"]
+    key = ["category", "size"]
+    dealt = comps.withColumn("bucket", F.pmod(F.xxhash64("group_row_id"), F.lit(1024)))
+    counts = dealt.groupBy(*key, "bucket").agg(F.count("*").alias("n"))
+    offsets = counts.select(*key, "bucket", (F.sum("n").over(Window.partitionBy(*key).orderBy("bucket")) - F.col("n")).alias("before"))
+    within = Window.partitionBy(*key, "bucket").orderBy(F.xxhash64("group_row_id"), "group_row_id")
+    placed = dealt.withColumn("place", F.row_number().over(within)).join(offsets, [*key, "bucket"])
+    spans = quota.withColumn("upto", F.sum("quota").over(Window.partitionBy(*key).orderBy("split"))).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("upto", "split"))).alias("spans"))
+    mine = F.filter("spans", lambda s: F.col("before") + F.col("place") <= s["upto"])
+    return placed.join(spans, key, "left").select("group_row_id", F.coalesce(F.get(mine, F.lit(0))["split"], F.lit(rest)).alias("split"))
 
 
 def read(arrays: DataFrame) -> DataFrame:

@@ -15,7 +15,8 @@ from arrayloom.llm.arrays import rank, subtype
 from arrayloom.runtime import written
 
 MAX_CATEGORIES = 10_000
-BUCKETS = 4096
+BUCKET_ROWS = 20_000  # rows of one leaf that are ranked together, about
+FITTED = 1e-6  # proportional fitting ends when no leaf changes by more than this part of a row
 OTHER = ""  # the leaf of rows whose second category is missing or has no target
 
 
@@ -84,12 +85,15 @@ def allocate(size: int, supply: dict[tuple[str, str], int], first: dict[str, tup
         quota[c] -= n
 
     fit = {leaf: float(n) for leaf, n in supply.items() if leaf[0] in first}
-    for _ in range(60):
+    for _ in range(1000):
+        before = dict(fit)
         for axis, goal in ((1, {c: size * share for c, (share, _) in second.items()}), (0, quota)):
             sums: dict[str, float] = {}
             for leaf, x in fit.items():
                 sums[leaf[axis]] = sums.get(leaf[axis], 0.0) + x
             fit = {leaf: min(float(supply[leaf]), x * goal[leaf[axis]] / sums[leaf[axis]]) if leaf[axis] in goal and sums[leaf[axis]] > 0 else x for leaf, x in fit.items()}
+        if all(abs(fit[leaf] - x) <= FITTED for leaf, x in before.items()):
+            break
     drawn: dict[tuple[str, str], int] = {}
     for c, n in quota.items():
         leaves = {leaf: x for leaf, x in fit.items() if leaf[0] == c}
@@ -137,24 +141,28 @@ def proportional_sample(records: DataFrame, row_id: str, first: str, second: str
     than asked only if all rows with a target are drawn. An empty table gives an
     empty sample.
     """
-    leaves, _, _, drawn, _, _ = _plan(records, row_id, first, second, targets, names, fraction)
+    leaves, counts, _, drawn, _, _ = _plan(records, row_id, first, second, targets, names, fraction)
     rows = [(a, b, n) for (a, b), n in drawn.items() if n > 0]
     quota = records.sparkSession.createDataFrame(rows, "first string, second string, quota bigint")
     shuffled = F.xxhash64(F.lit(seed), F.col("row_id"))
-    # The rank comes in two steps: rows are counted per leaf and hash bucket, and ranked only in the bucket in which the quota ends.
-    dealt = leaves.withColumn("h", shuffled).withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 20), F.lit(BUCKETS)))
+    # The rank comes in two steps: rows are counted per leaf and hash bucket; buckets that lie wholly below the quota are
+    # taken as they are, and only rows of the one in which it ends are ranked.
+    buckets = max(64, -(-max(counts.values(), default=0) // BUCKET_ROWS))
+    dealt = leaves.withColumn("h", shuffled).withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 20), F.lit(buckets)))
     per = dealt.groupBy("first", "second", "bucket").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("first", "second").orderBy("bucket"))
     wanted = per.withColumn("before", upto - F.col("n")).join(F.broadcast(quota), ["first", "second"]).filter("before < quota")
     inside = dealt.join(wanted, ["first", "second", "bucket"])
+    whole = inside.filter("before + n <= quota")
     place = F.dense_rank().over(Window.partitionBy("first", "second", "bucket").orderBy("h", "row_id"))
-    return inside.withColumn("place", place).filter("before + place <= quota").select("row_id", "first", "second")
+    cut = inside.filter("before + n > quota").withColumn("place", place).filter("before + place <= quota")
+    return whole.select("row_id", "first", "second").unionByName(cut.select("row_id", "first", "second"))
 
 
 def missed_targets(records: DataFrame, row_id: str, first: str, second: str, targets: DataFrame, names: tuple[str, str], fraction: float) -> DataFrame:
     """Per field and category: target and drawn rows, shares, supply, and whether share and minimum were met.
 
-    A share counts as met within half a percent of the sample or one row.
+    A share counts as met within half a percent of its own rows, or within one row, which is what rounding takes.
     """
     _, counts, size, drawn, one, two = _plan(records, row_id, first, second, targets, names, fraction)
     total = sum(drawn.values())
@@ -163,7 +171,7 @@ def missed_targets(records: DataFrame, row_id: str, first: str, second: str, tar
         for c, (share, least) in sorted(wanted.items()):
             got = sum(n for leaf, n in drawn.items() if leaf[axis] == c)
             have = sum(n for leaf, n in counts.items() if leaf[axis] == c)
-            meets = abs(got - share * size) <= max(1.0, 0.005 * size)
+            meets = abs(got - share * size) <= max(1.0, 0.005 * share * size)
             rows.append((name, c, share, least, have, got, got / total if total else 0.0, meets, got >= least))
     return records.sparkSession.createDataFrame(
         rows, "field_name string, category string, target_share double, min_rows int, available bigint, drawn bigint, share double, share_met boolean, minimum_met boolean"

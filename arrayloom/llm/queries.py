@@ -18,6 +18,11 @@ def p2_overlaps_by_split(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.by_split_and_source(array_records(spark, folder))
 
 
+def p2_record_overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Every held-out record with a training twin: its twins, and how much of one's chunks it holds at most."""
+    return overlap.overlaps_of_records(array_records(spark, folder))
+
+
 #: Share of all records that the sample is to hold.
 SAMPLE = 0.1
 
@@ -106,6 +111,7 @@ def p10_shared_part(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_overlaps_by_split": p2_overlaps_by_split,
+    "p2_record_overlaps": p2_record_overlaps,
     "p3_sample": p3_sample,
     "p3_targets": p3_targets,
     "p4_found": p4_found,
@@ -154,9 +160,9 @@ _STRETCHES = """windows AS (SELECT doc_id, i, md5(substr(text, i, 300)) AS h FRO
   numbered AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS no FROM opened),
   stretches AS (SELECT doc_id, min(i) - 1 AS begin, max(i) + 299 AS "end" FROM numbered GROUP BY doc_id, no)"""
 
-_SUBTYPED = """plain AS (SELECT row_id, CASE WHEN spacer_count >= 0 THEN CAST(spacer_count AS BIGINT) END AS spacer_count,
+_SUBTYPED = """plain AS (SELECT * REPLACE (CASE WHEN spacer_count >= 0 THEN CAST(spacer_count AS BIGINT) END AS spacer_count, strftime(called_at, '%Y-%m-%d %H:%M:%S') AS called_at, strftime(loaded_at, '%Y-%m-%d %H:%M:%S') AS loaded_at),
     regexp_replace(regexp_replace(upper(trim(cas_subtype)), '[–—]', '-', 'g'), '^(CAS-|TYPE )\\s*', '') AS s FROM cctyper_validation_repeats_cas_types),
-  subtyped AS (SELECT row_id, spacer_count, nullif(regexp_extract(s, '^(III|II|IV|VI|I|V)-?([A-Z])$', 1) || '-' || regexp_extract(s, '^(III|II|IV|VI|I|V)-?([A-Z])$', 2), '-') AS subtype FROM plain),
+  subtyped AS (SELECT * EXCLUDE (s), nullif(regexp_extract(s, '^(III|II|IV|VI|I|V)-?([A-Z])$', 1) || '-' || regexp_extract(s, '^(III|II|IV|VI|I|V)-?([A-Z])$', 2), '-') AS subtype FROM plain),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY subtype ORDER BY spacer_count DESC NULLS LAST, row_id) AS place FROM subtyped)"""
 
 ORACLE = {
@@ -166,10 +172,10 @@ ORACLE = {
       FROM cctyper_validation_repeats_cas_types LEFT JOIN per ON row_id = other_row WHERE split IN ('validation', 'test') GROUP BY ALL""",
     "p4_found": f"""WITH {_READ} SELECT a.row_id AS row_id_a, b.row_id AS row_id_b FROM arrays a JOIN arrays b
       ON a.row_id < b.row_id AND abs(a.array_start - b.array_start) <= 50 AND {_SAME}""",
-    "p7_capped_by_count": f"WITH {_SUBTYPED} SELECT row_id, subtype, spacer_count FROM ranked WHERE place <= 1000",
+    "p7_capped_by_count": f"WITH {_SUBTYPED} SELECT * EXCLUDE (place) FROM ranked WHERE place <= 1000",
     "p7_capped_by_share": f"""WITH {_SUBTYPED}, sizes AS (SELECT count(*) AS n FROM ranked GROUP BY subtype),
       fits AS (SELECT k FROM range(0, (SELECT max(n) + 1 FROM sizes)) r(k), sizes GROUP BY k HAVING k <= 0.125 * sum(least(n, k)) + 1e-9)
-      SELECT row_id, subtype, spacer_count FROM ranked WHERE place <= (SELECT max(k) FROM fits)""",
+      SELECT * EXCLUDE (place) FROM ranked WHERE place <= (SELECT max(k) FROM fits)""",
     "p10_stretches": f"WITH {_STRETCHES} SELECT * FROM stretches",
     "p10_shared_part": f"""WITH {_STRETCHES}, sums AS (SELECT doc_id, count(*) AS n, CAST(sum("end" - begin) AS BIGINT) AS c FROM stretches GROUP BY 1)
       SELECT d.doc_id, CAST(coalesce(length(text), 0) AS BIGINT) AS n_chars, coalesce(n, 0) AS stretches, coalesce(c, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(c, 0) / length(text) ELSE CAST(0 AS DOUBLE) END AS shared

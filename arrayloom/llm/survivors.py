@@ -16,7 +16,7 @@ from arrayloom.llm.arrays import bases, genome_key, same_bases, subtype
 from arrayloom.llm.classes import members_of, with_members
 from arrayloom.llm.components import components
 from arrayloom.llm.overlap import chunks, every_offset
-from arrayloom.runtime import discard, written
+from arrayloom.runtime import written
 
 NEAR = 50
 # Buckets of starts with more classes than this are joined on chunks of the repeats as well.
@@ -24,6 +24,7 @@ CROWD = 200
 FALSE_VALUES = 10  # equally likely wrong values per field
 COPY_PRIOR, COPY_RATE = 0.2, 0.8
 FIRST_ACCURACY, ROUNDS = 0.8, 3
+PATTERN_VALUES = 64  # items of more values are not written as patterns
 
 #: Words that stand for a missing value. Fixed values.
 PLACEHOLDERS = ("", "na", "n/a", "nan", "none", "null", "unknown", "ambiguous", "not available", "-", "?", ".")
@@ -115,8 +116,8 @@ def fuse(records: DataFrame, group: str, source: str, fields: list[str], trust:
     the highest trust, then the latest, then the first in order wins. A null
     source is one source of its own. Repeated rows of a source claim once.
     The table has a row per source and value, not per record, before anything
-    is joined, so the size of a group does not matter; pairs are formed of
-    sources only.
+    is joined, and rounds run over the different patterns of sources and values,
+    so the size of a group does not matter; pairs are formed of sources only.
     """
     packed = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").cast("string").alias("value")) for f in fields])).alias("c")
     rows = records.select(
@@ -126,47 +127,64 @@ def fuse(records: DataFrame, group: str, source: str, fields: list[str], trust:
         F.max("trust").alias("trust"), F.max("at").alias("at")
     )
     # A source that contradicts itself in a group is counted with a share of a vote for each value.
-    own = Window.partitionBy("g", "field", "s")
-    claims = written(claims.withColumn("part", 1.0 / F.count("*").over(own)), "claims")
-    accuracy = claims.select("s").distinct().withColumn("accuracy", F.lit(FIRST_ACCURACY))
+    item = ["g", "field"]
+    claims = written(claims.withColumn("part", 1.0 / F.count("*").over(Window.partitionBy(*item, "s"))), "claims")
+    values = claims.groupBy(*item, "value").agg(F.max("trust").alias("trust"), F.max("at").alias("at"), F.sort_array(F.collect_list("s")).alias("by"))
+    order = Window.partitionBy(*item).orderBy(F.desc_nulls_last("trust"), F.desc_nulls_last("at"), "value")
+    placed = values.withColumn("no", F.row_number().over(order)).withColumn("many", F.count("*").over(Window.partitionBy(*item)))
+    # Items with the same sources behind their values, in order, are one pattern: they have the same votes in every round,
+    # so rounds run over the few patterns with their multiplicities. An item of very many values is its own pattern.
+    said = F.when(F.col("many") <= PATTERN_VALUES, F.concat_ws("\u0001", F.lpad("no", 4, "0"), F.concat_ws("\u0002", "by")))
+    items = placed.groupBy(*item).agg(F.sort_array(F.collect_list(said)).alias("p")).withColumn(
+        "pattern", F.md5(F.when(F.size("p") > 0, F.concat_ws("\u0003", "p")).otherwise(F.concat_ws("\u0004", F.col("g").cast("string"), "field")))
+    )
+    keyed = written(placed.drop("many").join(items.select(*item, "pattern"), item), "values")
+    first = keyed.groupBy("pattern").agg(F.min(F.struct(*item)).alias("i"), F.count_if(F.col("no") == 1).alias("weight")).select("pattern", "weight", "i.*")
+    votes_of = keyed.join(first, ["pattern", *item]).select("pattern", "weight", "no", F.explode("by").alias("s"))
+    votes_of = votes_of.withColumn("part", 1.0 / F.count("*").over(Window.partitionBy("pattern", "s")))
+    posterior = _rounds(written(votes_of, "patterns"), rounds)
+    best = keyed.join(posterior.filter("is_best").select("pattern", "no", "posterior"), ["pattern", "no"])
+    return best.select(F.col("g").alias(group), "field", "value", "posterior", F.size("by").cast("bigint").alias("sources"))
+
+
+def _rounds(votes: DataFrame, rounds: int) -> DataFrame:
+    """(pattern, no, posterior, is_best) from votes (pattern, weight, no, s, part), after so many rounds."""
+    accuracy = votes.select("s").distinct().withColumn("accuracy", F.lit(FIRST_ACCURACY))
     dependence: DataFrame | None = None
-    posterior: DataFrame | None = None
     for no in range(rounds):
-        weighted = claims.join(accuracy, "s").withColumn("vote", F.col("part") * F.log(FALSE_VALUES * F.col("accuracy") / (1 - F.col("accuracy"))))
+        weighted = votes.join(accuracy, "s").withColumn("vote", F.col("part") * F.log(FALSE_VALUES * F.col("accuracy") / (1 - F.col("accuracy"))))
         if dependence is not None:
             # votes count in falling order of accuracy; each is discounted by the chance that it was copied from one before it
-            key = ["g", "field", "value"]
-            ahead = claims.select(*key, F.col("s").alias("s2")).join(dependence, "s2")
-            copied = claims.select(*key, "s").join(ahead, [*key, "s"]).groupBy(*key, "s").agg(F.sum(_log(1 - COPY_RATE * F.col("dependent"))).alias("log_own"))
+            key = ["pattern", "no"]
+            ahead = votes.select(*key, F.col("s").alias("s2")).join(dependence, "s2")
+            copied = votes.select(*key, "s").join(ahead, [*key, "s"]).groupBy(*key, "s").agg(F.sum(_log(1 - COPY_RATE * F.col("dependent"))).alias("log_own"))
             weighted = weighted.join(copied, [*key, "s"], "left").withColumn("vote", F.col("vote") * F.exp(F.coalesce("log_own", F.lit(0.0))))
-        votes = weighted.groupBy("g", "field", "value").agg(F.sum("vote").alias("vote"), F.max("trust").alias("trust"), F.max("at").alias("at"), F.count("*").alias("sources"))
-        item = Window.partitionBy("g", "field")
+        summed = weighted.groupBy("pattern", "no").agg(F.sum("vote").alias("vote"))
+        item = Window.partitionBy("pattern")
         top = F.max("vote").over(item)
         unseen = F.greatest(F.lit(FALSE_VALUES + 1) - F.count("*").over(item), F.lit(0)) * F.exp(-top)
-        new = votes.withColumn("posterior", F.exp(F.col("vote") - top) / (F.sum(F.exp(F.col("vote") - top)).over(item) + unseen))
-        best = F.row_number().over(item.orderBy(F.desc("posterior"), F.desc_nulls_last("trust"), F.desc_nulls_last("at"), "value"))
-        if posterior is not None:
-            discard(posterior)
-        posterior = written(new.withColumn("is_best", best == 1), "posterior")
+        new = summed.withColumn("posterior", F.exp(F.col("vote") - top) / (F.sum(F.exp(F.col("vote") - top)).over(item) + unseen))
+        posterior = written(new.withColumn("is_best", F.row_number().over(item.orderBy(F.desc("posterior"), "no")) == 1), "posterior")
         if no == rounds - 1:
             break
-        judged = claims.join(posterior.select("g", "field", "value", "posterior", "is_best"), ["g", "field", "value"])
-        accuracy = written(
-            judged.groupBy("s").agg(F.least(F.greatest(F.sum(F.col("posterior") * F.col("part")) / F.sum("part"), F.lit(0.05)), F.lit(0.99)).alias("accuracy")), "accuracy"
-        )
+        judged = votes.join(posterior.select("pattern", "no", "posterior", "is_best"), ["pattern", "no"])
+        counted = F.col("part") * F.col("weight")
+        accuracy = written(judged.groupBy("s").agg(F.least(F.greatest(F.sum(F.col("posterior") * counted) / F.sum(counted), F.lit(0.05)), F.lit(0.99)).alias("accuracy")), "accuracy")
         dependence = written(_dependence(judged, accuracy), "dependence")
-    return posterior.filter("is_best").select(F.col("g").alias(group), "field", "value", "posterior", "sources")
+    return posterior
 
 
 def _dependence(judged: DataFrame, accuracy: DataFrame) -> DataFrame:
-    """(s, s2, dependent): how likely s, the less accurate of two sources, depends on s2, from the true and false values they share."""
-    a = judged.select("g", "field", "s", "value", "is_best")
-    b = judged.select("g", "field", F.col("s").alias("s2"), F.col("value").alias("value2"))
-    met = a.join(b, ["g", "field"]).filter("s <> s2").groupBy("s", "s2").agg(
-        F.count_if(F.col("value").eqNullSafe(F.col("value2")) & F.col("is_best")).alias("kt"),
-        F.count_if(F.col("value").eqNullSafe(F.col("value2")) & ~F.col("is_best")).alias("kf"),
-        F.count_if(F.col("value") != F.col("value2")).alias("kd"),
-    )
+    """(s, s2, dependent): how likely s, the less accurate of two sources, depends on s2, from the true and false values they share.
+
+    Values in common are counted over the sources of each value, values apart as
+    all pairs of two sources' values, from their numbers, less those in common.
+    """
+    other = judged.select("pattern", "no", F.col("s").alias("s2"))
+    shared = judged.join(other, ["pattern", "no"]).filter("s <> s2").groupBy("s", "s2").agg(F.sum(F.when(F.col("is_best"), F.col("weight")).otherwise(0)).alias("kt"), F.sum(F.when(~F.col("is_best"), F.col("weight")).otherwise(0)).alias("kf"))
+    sizes = judged.groupBy("pattern", "weight", "s").agg(F.count("*").alias("n"))
+    pairs = sizes.join(sizes.select("pattern", F.col("s").alias("s2"), F.col("n").alias("n2")), "pattern").filter("s <> s2").groupBy("s", "s2").agg(F.sum(F.col("n") * F.col("n2") * F.col("weight")).alias("all"))
+    met = pairs.join(shared, ["s", "s2"], "left").fillna(0, ["kt", "kf"]).withColumn("kd", F.col("all") - F.col("kt") - F.col("kf"))
     rated = met.join(accuracy.withColumnRenamed("accuracy", "x"), "s").join(accuracy.select(F.col("s").alias("s2"), F.col("accuracy").alias("y")), "s2")
     rated = rated.filter((F.col("x") < F.col("y")) | ((F.col("x") == F.col("y")) & (F.col("s") > F.col("s2"))))
     x, y, c = F.col("x"), F.col("y"), COPY_RATE

@@ -108,7 +108,7 @@ def test_copies_are_found(spark):
     for g in range(80):
         bad = f"w{g}" if g % 4 == 0 else f"v{g}"
         rows += [(g, "f", s, v, v == f"v{g}") for s, v in (("good1", f"v{g}" if g % 9 else f"x{g}"), ("good2", f"v{g}" if g % 7 else f"y{g}"), ("bad", bad), ("copy", bad))]
-    judged = spark.createDataFrame(rows, "g bigint, field string, s string, value string, is_best boolean")
+    judged = spark.createDataFrame(rows, "pattern bigint, field string, s string, no string, is_best boolean").withColumn("weight", F.lit(1))
     accuracy = judged.groupBy("s").agg(F.avg(F.col("is_best").cast("double")).alias("accuracy"))
     got = {frozenset((r.s, r.s2)): r.dependent for r in survivors._dependence(judged, accuracy).collect()}
     assert got[frozenset(("bad", "copy"))] > 0.99

@@ -170,3 +170,47 @@ def test_tokens(spark):
     df = spark.createDataFrame([("a b",), ("",), (None,), ("<|endoftext|>",), ("é" * 20_000,)], "t string")
     got = [r[0] for r in df.select(packing.token_count(F.col("t"))).collect()]
     assert got[0] == 2 and got[1] == 0 and got[2] is None and got[3] > 1 and got[4] > 0
+
+
+def test_splits_spread_categories(spark):
+    """Large components of different sizes and small ones: every category comes near its shares, the totals nearer still."""
+    own = random.Random(4)
+    rows, at = [], 0
+    for k in range(400):
+        size = own.choice([1, 1, 2, 3, 5, 8, 13, 40, 90]) + k % 4
+        kind = own.choices(["I-E", "II-A", "V-A", None], [6, 3, 2, 1])[0]
+        for _ in range(size):
+            rows.append((at, f"g{k}", None, kind if own.random() < 0.9 else "I-E", "x"))
+            at += 1
+    got = grouped_split.grouped_splits(spark.createDataFrame(rows, SCHEMA), "row_id", ["genome", "genus"], "subtype").collect()
+    kind_of = {r[0]: r[3] for r in rows}
+    for kind in ("I-E", "II-A", "V-A", None):
+        mine = [r.split for r in got if kind_of[r.row_id] == kind]
+        for split, share in grouped_split.SHARES.items():
+            assert abs(mine.count(split) / len(mine) - share) < 0.03, (kind, split)
+    for split, share in grouped_split.SHARES.items():
+        assert abs(sum(r.split == split for r in got) - share * at) <= 3, split
+    assert len(got) == at and len({(r.group_row_id, r.split) for r in got}) == len({r.group_row_id for r in got})
+
+
+def test_units_leave_no_remainder():
+    own = random.Random(5)
+    sizes = [(s, own.randint(1, 400)) for s in range(1, 60)] + [(own.randint(1000, 9000), 1) for _ in range(40)]
+    total = sum(s * n for s, n in sizes)
+    chosen = grouped_split.choose_counts(sizes, {"a": 0.1 * total, "b": 0.1 * total, "c": 0.8 * total}, unit=37)
+    for split in "ab":
+        assert abs(sum(s * n for s, n in chosen[split].items()) - 0.1 * total) <= 0.5
+    assert all(sum(c.get(s, 0) for c in chosen.values()) <= n for s, n in dict(sizes).items())
+
+
+def test_capping_without_scores(spark):
+    df = spark.createDataFrame([(i, "a", None, "x") for i in range(9)] + [(20, None, -(1 << 63), "x"), (21, None, (1 << 63) - 1, "x"), (22, None, None, "x")], CAP)
+    got = {r.row_id for r in capping.cap_contributors(df, "who", "score", "row_id", max_rows=2).collect()}
+    assert got == {0, 1, 21, 20}
+
+
+def test_missed_share_of_a_small_category(spark):
+    df = spark.createDataFrame([(i, "I-E", "P") for i in range(1000)], "row_id bigint, subtype string, phylum string")
+    targets = spark.createDataFrame([("s", "I-E", 0.998, 1), ("s", "VI-B", 0.002, 1)], "field_name string, category string, target_share double, min_rows int")
+    got = {r.category: r.share_met for r in proportions.missed_targets(df, "row_id", "subtype", "phylum", targets, ("s", "p"), 1.0).collect()}
+    assert got == {"I-E": True, "VI-B": False}
