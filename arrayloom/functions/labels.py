@@ -89,7 +89,7 @@ def general_number(value: Column, digits: int = 8) -> Column:
 
     def short(x: Column) -> Column:
         sign = F.when(x["power"] < 0, "-").otherwise("+")
-        return F.concat(F.left(x["figures"], F.lit(1)), rest(F.substring(x["figures"], 2, digits)), F.lit("e"), sign, F.lpad(F.abs(x["power"]).cast("string"), 2, "0"))
+        return F.concat(F.left(x["figures"], F.lit(1)), rest(F.substring(x["figures"], 2, digits)), F.lit("e"), sign, F.lpad(F.abs(x["power"]).cast("string"), F.greatest(F.length(F.abs(x["power"]).cast("string")), F.lit(2)), F.lit("0")))
 
     text = F.transform(read, lambda x: F.concat(x["sign"], F.when((x["power"] < -4) | (x["power"] >= digits), short(x)).otherwise(plain(x))))
     return F.when(F.isnan(value), "nan").when(value == 0, "0").when(value.isNotNull(), text[0])

@@ -1,13 +1,18 @@
 """Repeat arrays in contigs: exact direct repeats, evenly spaced.
 
-Windows of the shortest repeat length are counted per record; only places whose
-window occurs often enough can begin a longer repeat, so only these are looked
-at in every length. Chains of repeats are islands between breaks in spacing, and
-of overlapping arrays the better one stays.
+The repeats of an array stand close to one another, so a tile of the contig with
+its margins shows which places begin with as many bases as stand again within
+that reach, and how many bases agree; only these places leave the tile, with the
+bases that follow them. Chains of repeats are islands between breaks in spacing,
+and of overlapping arrays the better one stays.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,21 +21,59 @@ from arrayloom.functions.dna import low_complexity
 TILE = 8192
 
 
-def windows(records: DataFrame, width: int, keys: list[str]) -> DataFrame:
-    """(keys, at, word): every window of the sequence, from position 0. Long contigs are cut into overlapping tiles first."""
-    n = F.length("sequence")
-    tiles = records.filter(n >= width).select(*keys, "sequence", F.explode(F.sequence(F.lit(0), n - width, F.lit(TILE))).alias("tile"))
-    cut = tiles.select(*keys, "tile", F.substring(F.col("sequence"), F.col("tile") + 1, F.lit(TILE + width - 1)).alias("part"))
-    inside = F.transform(F.sequence(F.lit(0), F.length("part") - width), lambda i: F.col("part").substr(i + 1, F.lit(width)))
-    return cut.select(*keys, "tile", F.posexplode(inside).alias("i", "word")).select(*keys, (F.col("tile") + F.col("i")).alias("at"), "word")
-
-
 def overlap_fraction(a: Column, b: Column) -> Column:
     """Common part of two closed intervals over the shorter one."""
     common = F.greatest(F.lit(0), F.least(a["end"], b["end"]) - F.greatest(a["start"], b["start"]) + 1)
     return common / F.least(a["end"] - a["start"] + 1, b["end"] - b["start"] + 1)
 
 
+def _agreeing(part: np.ndarray, least: int, most: int, reach: int) -> np.ndarray:
+    """How many bases from each place on stand again up to reach bases before or behind it, at most so many; 0 below least.
+
+    One pass per distance: places where the sequence agrees with itself, moved
+    by that distance, form runs, and only runs of the least length matter.
+    """
+    out = np.zeros(len(part), np.int32)
+    plain = np.isin(part, np.frombuffer(b"ACGT", np.uint8))
+    for d in range(1, min(reach, len(part) - least) + 1):
+        breaks = np.flatnonzero((part[:-d] != part[d:]) | ~plain[:-d])
+        edges = np.r_[-1, breaks, len(part) - d]
+        for k in np.flatnonzero(np.diff(edges) > least):
+            begin, end = edges[k] + 1, edges[k + 1]
+            longest = np.minimum(end - np.arange(begin, end - least + 1), most)
+            for at in (begin, begin + d):
+                np.maximum(out[at : at + len(longest)], longest, out=out[at : at + len(longest)])
+    return out
+
+
+def seeds(records: DataFrame, keys: list[str], least: int, most: int, reach: int) -> DataFrame:
+    """(keys, at, longest, context): places whose first least bases stand again within reach, how many agree, and the bases from there on, at most so many.
+
+    Tiles are as long as their margins need, so a contig of any length is looked
+    at in parts, and no sequence is shuffled.
+    """
+    n = F.length("sequence")
+    cut = records.filter(n >= least).select(*keys, "sequence", F.explode(F.sequence(F.lit(0), n - 1, F.lit(TILE))).alias("tile"))
+    begin = F.greatest(F.col("tile") - reach, F.lit(0))
+    parts = cut.select(*keys, (F.col("tile") - begin).alias("inner"), begin.alias("begin"), F.col("sequence").substr(begin + 1, F.col("tile") - begin + TILE + reach + most).alias("part"))
+    kinds = dict(records.dtypes)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, at, longest, context = [], [], [], []
+            for i, (inner, begin, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("inner", "begin", "part")))):
+                found = _agreeing(np.frombuffer(text.encode("ascii", "replace"), np.uint8), least, most, reach)
+                for p in (np.flatnonzero(found[inner : inner + TILE]) + inner).tolist():
+                    rows.append(i)
+                    at.append(begin + p)
+                    longest.append(int(found[p]))
+                    context.append(text[p : p + most])
+            own = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(own.column(k) for k in keys), pa.array(at, pa.int32()), pa.array(longest, pa.int32()), pa.array(context, pa.string())], names=[*keys, "at", "longest", "context"])
+
+    return parts.mapInArrow(look, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", at int, longest int, context string")
+
+
 def detect_arrays(
     records: DataFrame,
     min_repeat: int = 23,
@@ -49,40 +92,35 @@ def detect_arrays(
     """
     keys = ["genome_id", "contig_id", "record_no"]
     rec = records.select(*keys, F.upper(F.regexp_replace("sequence", r"\s", "")).alias("sequence"))
-    per_word = Window.partitionBy(*keys, "word")
-    seeds = windows(rec, min_repeat, keys).filter(F.col("word").rlike("^[ACGT]+$"))
-    often = seeds.withColumn("n", F.count("*").over(per_word)).filter(F.col("n") >= min_repeats).select(*keys, "at")
-    longer = often.join(rec, keys).select(*keys, "at", "sequence", F.explode(F.sequence(F.lit(min_repeat), F.lit(max_repeat))).alias("size"))
-    repeats = longer.filter(F.col("at") + F.col("size") <= F.length("sequence")).select(*keys, "at", "size", F.col("sequence").substr(F.col("at") + 1, F.col("size")).alias("repeat"))
+    places = seeds(rec, keys, min_repeat, max_repeat, max_repeat + max_spacer)
+    longer = places.select(*keys, "at", F.explode(F.transform(F.sequence(F.lit(min_repeat), F.col("longest")), lambda size: F.struct(size.alias("size"), F.left("context", size).alias("repeat")))).alias("x"))
+    repeats = longer.select(*keys, "at", "x.size", "x.repeat")
     per_repeat = Window.partitionBy(*keys, "repeat")
     in_order = per_repeat.orderBy("at")
     gap = F.col("at") - F.lag("at").over(in_order) - F.col("size")
     counted = (
-        repeats.filter(F.col("repeat").rlike("^[ACGT]+$"))
-        .withColumn("n", F.count("*").over(per_repeat))
-        .filter(F.col("n") >= min_repeats)
-        .filter(~low_complexity(F.col("repeat")))
-        .withColumn("first_at", F.min("at").over(per_repeat))
+        repeats.filter(~low_complexity(F.col("repeat")))
         .withColumn("broken", F.when(gap.between(min_spacer, max_spacer), 0).otherwise(1))
     )
     chained = counted.withColumn("chain", F.sum("broken").over(in_order))
-    chains = chained.groupBy(*keys, "repeat", "size", "first_at", "chain").agg(F.sort_array(F.collect_list("at")).alias("places")).filter(F.size("places") >= min_repeats)
-    start, end = F.element_at("places", 1) + 1, F.element_at("places", -1) + F.col("size")
-    ranked = chains.select(
-        *keys,
-        F.struct(
-            (-F.size("places")).alias("few"), (start - end).alias("short"), (-F.col("size")).alias("narrow"), "first_at", start.alias("start"), end.alias("end"), "repeat", "places"
-        ).alias("c"),
-    )
+    chains = chained.groupBy(*keys, "repeat", "size", "chain").agg(F.sort_array(F.collect_list("at")).alias("places")).filter(F.size("places") >= min_repeats)
     # better arrays first; each stays unless more than half of the shorter one lies in an array that stayed
-    best = F.sort_array(F.collect_list("c"))
     kind = "array<struct<few:int,short:int,narrow:int,first_at:int,start:int,end:int,repeat:string,places:array<int>>>"
+    per = chains.groupBy(*keys).agg(F.collect_list(F.struct("repeat", "size", "places")).alias("chains")).join(rec, keys)
+
+    def ranked(c: Column) -> Column:
+        start, end = F.element_at(c["places"], 1) + 1, F.element_at(c["places"], -1) + c["size"]
+        # where the repeat occurs first in the record, within reach of others or not
+        first = F.call_function("locate", c["repeat"], F.col("sequence")) - 1
+        return F.struct((-F.size(c["places"])).alias("few"), (start - end).alias("short"), (-c["size"]).alias("narrow"), first.alias("first_at"), start.alias("start"), end.alias("end"), c["repeat"].alias("repeat"), c["places"].alias("places"))
+
+    best = F.array_sort(F.transform("chains", ranked))
     stayed = F.aggregate(
-        F.col("all"), F.array().cast(kind), lambda acc, c: F.when(F.exists(acc, lambda k: overlap_fraction(c, k) > 0.5), acc).otherwise(F.concat(acc, F.array(c)))
+        best, F.array().cast(kind), lambda acc, c: F.when(F.exists(acc, lambda k: overlap_fraction(c, k) > 0.5), acc).otherwise(F.concat(acc, F.array(c)))
     )
-    kept = ranked.groupBy(*keys).agg(best.alias("all")).select(*keys, F.explode(stayed).alias("c"))
+    kept = per.select(*keys, "sequence", F.explode(stayed).alias("c"))
     no = F.row_number().over(Window.partitionBy(*keys).orderBy("c.start", "c.end"))
-    placed = kept.withColumn("no", no).join(rec, keys)
+    placed = kept.withColumn("no", no)
     size = F.length("c.repeat")
     spacers = F.transform(
         F.sequence(F.lit(1), F.size("c.places") - 1),

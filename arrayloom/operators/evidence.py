@@ -15,11 +15,12 @@ WEAK, NONE = "weak candidate CRISPR targeting evidence", "no spacer-match eviden
 MIN_CONFIDENCE = 0.9
 
 
-def annotate(hits: DataFrame, predictions: DataFrame, default_rule: str = "") -> DataFrame:
+def annotate(hits: DataFrame, predictions: DataFrame, default_rule: str = "", bacterium_rules: DataFrame | None = None) -> DataFrame:
     """hits (with flanks, spacer and array_id) with predicted subtype, PAM rule, its evaluation and the seed's mismatches.
 
-    predictions: array_id, cas_subtype, confidence, and optionally override_rule.
-    A rule comes from the override first, then from the curated catalog if the
+    predictions: array_id, cas_subtype, confidence, and optionally override_rule;
+    bacterium_rules: bacterium, rule. A rule comes from the array's override
+    first, then from the bacterium's, then from the curated catalog if the
     prediction is sure enough, then from the default; rule_source says which.
     """
     catalog = F.create_map(*[F.lit(x) for pair in CURATED_RULES.items() for x in pair])
@@ -27,15 +28,20 @@ def annotate(hits: DataFrame, predictions: DataFrame, default_rule: str = "") ->
     dims = predictions.select("array_id", "cas_subtype", "confidence", F.nullif(F.trim(override), F.lit("")).alias("override"))
     curated = F.when(F.col("confidence") >= MIN_CONFIDENCE, catalog[F.col("cas_subtype")])
     fallback = F.lit(default_rule or None).cast("string")
+    hits = hits.withColumn("own_rule", F.lit(None).cast("string"))
+    if bacterium_rules is not None:
+        own = bacterium_rules.groupBy("bacterium").agg(F.min(F.nullif(F.trim("rule"), F.lit(""))).alias("own_rule"))
+        hits = hits.drop("own_rule").join(own, "bacterium", "left")
     source = (
         F.when(F.col("override").isNotNull(), "array_override")
+        .when(F.col("own_rule").isNotNull(), "bacterium_override")
         .when(curated.isNotNull(), "curated_subtype_catalog")
         .when(fallback.isNotNull(), "manual_default")
         .when(F.col("cas_subtype").isNull(), "not_available")
         .when(F.col("confidence") < MIN_CONFIDENCE, "subtype_confidence_below_threshold")
         .otherwise("no_curated_rule")
     )
-    ruled = hits.join(dims, "array_id", "left").withColumn("pam_rule", F.coalesce("override", curated, fallback)).withColumn("pam_rule_source", source).drop("override")
+    ruled = hits.join(dims, "array_id", "left").withColumn("pam_rule", F.coalesce("override", "own_rule", curated, fallback)).withColumn("pam_rule_source", source).drop("override", "own_rule")
     judged = with_evaluation(ruled, F.col("pam_rule"), "flank_5p", "flank_3p", "genomic_upstream", "genomic_downstream")
     seeded = judged.withColumn("seed", seed_mismatches(F.col("spacer"), F.col("protospacer"), F.coalesce(seed_side(F.col("pam_rule")), F.lit(""))))
     return seeded.select(

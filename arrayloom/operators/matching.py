@@ -10,10 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arrayloom.functions.dna import positions_alike, reverse_complement
-from arrayloom.operators.detect import TILE, windows
+from arrayloom.operators.detect import TILE
 
-#: Seed widths of exact search; a spacer uses the widest that it holds.
-SEEDS = (20, 8, 1)
+SEED = 20  # exact search looks for the first bases of a spacer, or for all of a shorter one
 
 
 def _strands(spacers: DataFrame) -> DataFrame:
@@ -30,47 +29,48 @@ def _phage(records: DataFrame) -> DataFrame:
     return records.select("phage_id", "phage_contig", F.upper("sequence").alias("sequence"))
 
 
+def _tiles(target: DataFrame, before: int, after: int) -> DataFrame:
+    """(phage_id, phage_contig, tile, begin, part): tiles of TILE bases, each with so many bases before and after it; part counts from begin."""
+    tiles = target.filter(F.length("sequence") > 0).select("phage_id", "phage_contig", "sequence", F.explode(F.sequence(F.lit(0), F.length("sequence") - 1, F.lit(TILE))).alias("tile"))
+    begin = F.greatest(F.col("tile") - before, F.lit(0))
+    return tiles.select("phage_id", "phage_contig", "tile", begin.alias("begin"), F.col("sequence").substr(begin + 1, F.col("tile") - begin + TILE + after).alias("part"))
+
+
+def _at_places(tiles: DataFrame, keys_at, seeded: DataFrame) -> DataFrame:
+    """Places i of the tiles' parts whose keys seeded (key, ...) has, each with its tile's part again.
+
+    keys_at: place in the part -> array of keys. Only keys and places are
+    shuffled for the join; the parts follow for those tiles that have a place.
+    """
+    own = F.col("tile") - F.col("begin")
+    places = F.sequence(own, F.least(F.length("part"), own + TILE) - 1)
+    keys = F.flatten(F.transform(places, lambda i: F.transform(F.array_compact(keys_at(i)), lambda k: F.struct(i.alias("i"), k.alias("key")))))
+    each = tiles.select("phage_id", "phage_contig", "tile", F.explode(keys).alias("x"))
+    near = each.select("phage_id", "phage_contig", "tile", "x.i", "x.key").join(seeded, "key").drop("key")
+    return near.join(tiles, ["phage_id", "phage_contig", "tile"])
+
+
 def exact_hits(spacers: DataFrame, phages: DataFrame) -> DataFrame:
     """Every occurrence of spacers (spacer_id, spacer) in phages (phage_id, phage_contig, sequence), overlapping ones too.
 
     Out come spacer_id, phage_id, phage_contig, strand, start and end (from 1,
-    both included). Empty spacers match nothing.
+    both included). Empty spacers match nothing. The widths of seeds and the
+    longest spacer follow from the spacers, so phages are read once for all.
     """
-    queries = _strands(spacers.filter(F.length("spacer") > 0))
-    target = _phage(phages)
-    found = []
-    upper = None
-    for width in SEEDS:
-        mine = queries.filter(F.length("query") >= width)
-        if upper:
-            mine = mine.filter(F.length("query") < upper)
-        upper = width
-        seeded = mine.withColumn("word", F.substring("query", 1, width))
-        # an exact verification follows on the phage itself, joined only for places whose seed agrees
-        places = windows(target, width, ["phage_id", "phage_contig"])
-        near = places.join(seeded, "word").join(target, ["phage_id", "phage_contig"])
-        hit = near.filter(F.col("sequence").substr(F.col("at") + 1, F.length("query")) == F.col("query"))
-        found.append(hit.select("spacer_id", "phage_id", "phage_contig", "strand", (F.col("at") + 1).alias("start"), (F.col("at") + F.length("query")).alias("end")))
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _paired_words(records: DataFrame, width: int, blocks: int) -> DataFrame:
-    """(phage_id, phage_contig, at, key): every word of a width with every word one to blocks - 1 widths after it."""
-    n = F.length("sequence")
-    ahead = blocks * width
-    tiles = records.filter(n >= width).select("phage_id", "phage_contig", "sequence", F.explode(F.sequence(F.lit(0), n - width, F.lit(TILE))).alias("tile"))
-    cut = tiles.select("phage_id", "phage_contig", "tile", F.substring(F.col("sequence"), F.col("tile") + 1, F.lit(TILE + ahead)).alias("part"))
-    placed = cut.select("phage_id", "phage_contig", "tile", "part", F.explode(F.sequence(F.lit(0), F.least(F.length("part") - width, F.lit(TILE - 1)))).alias("i"))
-    word = placed.withColumn("word", F.col("part").substr(F.col("i") + 1, F.lit(width)))
-    keys = [
-        F.when(F.length("part") >= F.col("i") + (d + 1) * width, F.xxhash64(F.lit(width), F.lit(d), F.col("word"), F.col("part").substr(F.col("i") + d * width + 1, F.lit(width))))
-        for d in range(1, blocks)
-    ]
-    rows = word.select("phage_id", "phage_contig", (F.col("tile") + F.col("i")).alias("at"), F.explode(F.array(*keys)).alias("key"))
-    return rows.filter("key is not null")
+    queries = _strands(spacers.filter(F.length("spacer") > 0)).withColumn("width", F.least(F.length("query"), F.lit(SEED)))
+    # at most SEED different widths
+    known = queries.groupBy("width").agg(F.max(F.length("query")).alias("n")).collect()
+    widths, longest = sorted(r["width"] for r in known) or [SEED], max((r["n"] for r in known), default=SEED)
+    seeded = queries.withColumn("key", F.xxhash64("width", F.left("query", F.col("width")))).drop("width")
+    part = F.col("part")
+
+    def keys_at(i: Column) -> Column:
+        return F.array(*[F.when(i + w <= F.length(part), F.xxhash64(F.lit(w), part.substr(i + 1, F.lit(w)))) for w in widths])
+
+    near = _at_places(_tiles(_phage(phages), 0, longest), keys_at, seeded)
+    hit = near.filter(part.substr(F.col("i") + 1, F.length("query")) == F.col("query"))
+    at = F.col("begin") + F.col("i")
+    return hit.select("spacer_id", "phage_id", "phage_contig", "strand", (at + 1).alias("start"), (at + F.length("query")).alias("end"))
 
 
 def fuzzy_hits(spacers: DataFrame, phages: DataFrame, max_mismatches: int = 4, min_identity: float = 0.85, edge: int = 8, per_spacer: int = 5) -> DataFrame:
@@ -81,36 +81,38 @@ def fuzzy_hits(spacers: DataFrame, phages: DataFrame, max_mismatches: int = 4, m
     Out come mismatches, identity, those in the better of the two edges and the
     rest; of each spacer the per_spacer best by (mismatches, edge mismatches),
     ties in order of phage, contig, strand and place. Spacers shorter than edge
-    or with letters other than A, C, G and T are left out.
+    or with letters other than A, C, G and T are left out. Phages are read once
+    for all widths of blocks.
     """
     if edge < max_mismatches + 2:
         raise ValueError("spacers must be long enough for max_mismatches + 2 blocks: edge is too small")
     usable = spacers.filter((F.length("spacer") >= edge) & F.upper("spacer").rlike("^[ACGT]+$"))
     queries = _strands(usable)
-    target = _phage(phages)
     blocks = max_mismatches + 2
     width = F.floor(F.length("query") / blocks).cast("int")
     combos = [F.struct(F.lit(i).alias("i"), F.lit(j - i).alias("d")) for i in range(blocks) for j in range(i + 1, blocks)]
     cut = queries.select("spacer_id", "query", "strand", width.alias("width"), F.explode(F.array(*combos)).alias("c"))
-    offset = F.col("c.i") * F.col("width")
-    q, w = F.col("query"), F.col("width")
-    seeds = cut.withColumn("offset", offset).withColumn("key", F.xxhash64("width", "c.d", q.substr(offset + 1, w), q.substr(offset + F.col("c.d") * w + 1, w))).drop("c")
+    q, w, offset = F.col("query"), F.col("width"), F.col("c.i") * F.col("width")
+    key = F.xxhash64("width", "c.d", q.substr(offset + 1, w), q.substr(offset + F.col("c.d") * w + 1, w))
+    seeded = cut.select("spacer_id", "query", "strand", offset.alias("offset"), key.alias("key"))
     # widths follow from the spacers' lengths, so they are few
-    widths = sorted(r[0] for r in queries.select(width.alias("w")).distinct().collect() if r[0] > 0)
-    found = None
-    for size in widths:
-        near = _paired_words(target, size, blocks).join(seeds.filter(w == size), "key")
-        places = near.select("spacer_id", "query", "strand", "phage_id", "phage_contig", (F.col("at") - F.col("offset")).alias("at")).distinct()
-        found = places if found is None else found.unionByName(places)
-    if found is None:
-        found = spacers.sparkSession.createDataFrame([], "spacer_id string, query string, strand string, phage_id string, phage_contig string, at int")
-    on_phage = found.join(target, ["phage_id", "phage_contig"]).filter((F.col("at") >= 0) & (F.col("at") + F.length("query") <= F.length("sequence")))
+    known = queries.groupBy(width.alias("width")).agg(F.max(F.length("query")).alias("n")).collect()
+    widths, longest = sorted((r["width"] for r in known), reverse=True) or [1], max((r["n"] for r in known), default=1)
+    part = F.col("part")
+
+    def keys_at(i: Column) -> Column:
+        there = lambda at, k: part.substr(at + 1, F.lit(k))
+        return F.array(*[F.when(i + (d + 1) * k <= F.length(part), F.xxhash64(F.lit(k), F.lit(d), there(i, k), there(i + d * k, k))) for k in widths for d in range(1, blocks)])
+
+    near = _at_places(_tiles(_phage(phages), longest, longest), keys_at, seeded)
+    first = F.col("i") - F.col("offset")
+    placed = near.filter(first >= 0).select("spacer_id", "query", "strand", "phage_id", "phage_contig", (F.col("begin") + first).alias("at"), part.substr(first + 1, F.length("query")).alias("there"))
+    on_phage = placed.filter(F.length("there") == F.length("query")).distinct()
     n = F.length("query")
-    there = F.col("sequence").substr(F.col("at") + 1, n)
-    mm = n - positions_alike(F.col("query"), there)
+    mm = n - positions_alike(F.col("query"), F.col("there"))
     low = F.lit(edge) - positions_alike(F.substring("query", 1, edge), F.col("there").substr(F.lit(1), F.lit(edge)))
     high = F.lit(edge) - positions_alike(F.col("query").substr(n - edge + 1, F.lit(edge)), F.col("there").substr(n - edge + 1, F.lit(edge)))
-    measured = on_phage.withColumn("there", there).withColumn("mismatches", mm).withColumn("identity", 1 - F.col("mismatches") / n)
+    measured = on_phage.withColumn("mismatches", mm).withColumn("identity", 1 - F.col("mismatches") / n)
     near = measured.filter((F.col("mismatches") <= max_mismatches) & (F.col("identity") >= min_identity)).withColumn("edge_mismatches", F.least(low, high))
     order = Window.partitionBy("spacer_id").orderBy("mismatches", "edge_mismatches", F.desc("identity"), "phage_id", "phage_contig", "strand", "at")
     best = near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_spacer)

@@ -80,6 +80,10 @@ def long_features(rows: DataFrame, row: str, text: str = "repeat_sequence", size
     return full.select(row, F.explode(F.concat(F.array(*plain), *kmers)).alias("f")).select(row, "f.*")
 
 
+def _value_in(shares: str):
+    return lambda name: F.coalesce(F.col(shares)[name], F.lit(0.0))
+
+
 def feature_vectors(rows: DataFrame, text: str = "repeat_sequence", sizes: tuple[int, ...] = SIZES) -> DataFrame:
     """rows with features: one vector of all features in the order of names(sizes)."""
     full = _prepared(rows, text)
@@ -90,5 +94,5 @@ def feature_vectors(rows: DataFrame, text: str = "repeat_sequence", sizes: tuple
     for k in sizes:
         for kind in ("kmer", "terminal_kmer"):
             every = F.array(*[F.lit(f"{kind}_{k}_{''.join(p)}") for p in product(dna.BASES, repeat=k)])
-            parts.append(F.transform(every, lambda n, m=f"_{kind}_{k}": F.coalesce(F.col(m)[n], F.lit(0.0))))
+            parts.append(F.transform(every, _value_in(f"_{kind}_{k}")))
     return full.withColumn("features", array_to_vector(F.concat(*parts))).select(*rows.columns, "features")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arrayloom.operators import metrics, models, training
+from arrayloom.operators import metrics, models, repeat_features, training
 from arrayloom.plans.sequences import DATA_SQL, bacteria
 from arrayloom.plans.training import labelled
 from arrayloom.runtime import shared_folder, table, written
@@ -21,8 +21,8 @@ KEYWORDS = {"trade": ("market", "price", "wharf"), "council": ("council", "mayor
 
 
 def _split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    rows = training.frequent_classes(labelled(spark, folder), "cas_subtype", 20).select("row_id", "split", "repeat_sequence", "cas_subtype", "spacer_count")
-    vectors = written(models.repeat_vectors(rows, "repeat_sequence", "cas_subtype", "spacer_count").select("row_id", "split", "label", "features"), "vectors")
+    rows = training.frequent_classes(labelled(spark, folder), "cas_subtype", 20).select("row_id", "split", "repeat_sequence", "cas_subtype", F.greatest("spacer_count", F.lit(0)).alias("spacer_count"), "mean_spacer_length")
+    vectors = written(repeat_features.feature_vectors(rows).select("row_id", "split", F.col("cas_subtype").alias("label"), "features"), "vectors")
     return vectors.filter("split = 'train'").drop("split"), vectors.filter("split in ('validation', 'test')").drop("split")
 
 

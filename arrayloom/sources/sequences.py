@@ -39,11 +39,57 @@ def fasta_in_order(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return records.select("source_file", "record_no", F.split_part(head, F.lit(" "), F.lit(1)).alias("record_id"), head.alias("description"), _body(F.col("value")).alias("sequence"))
 
 
-def fasta_in_zip(spark: SparkSession, path: str, member: str) -> DataFrame:
-    """(record_no, record_id, sequence) of one FASTA member of ZIP files; an error names the members if it is missing."""
+def fasta_any(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """fasta_in_order for files that may be gzipped without saying so in their name: told by their first two bytes.
+
+    Each file is read as a whole by one task, so this is for files that fit one.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import gzip
+        import io
+
+        for files in batches:
+            for path, content in zip(files["path"], files["content"]):
+                data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+                name = path.rsplit("/", 1)[-1]
+                rows = [(name, no, *record) for no, record in enumerate(_records(io.TextIOWrapper(io.BytesIO(data), "utf-8", "replace")))]
+                yield pd.DataFrame(rows, columns=["source_file", "record_no", "record_id", "sequence"])
+
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(read, "source_file string, record_no bigint, record_id string, sequence string")
+
+
+def genome_records(spark: SparkSession, path: str, genome_id: str) -> DataFrame:
+    """The records of one genome's file, with the genome's id as source_file; a file without records is an error."""
+    records = fasta(spark, path).withColumn("source_file", F.lit(genome_id))
+    if records.isEmpty():
+        raise ValueError(f"no records in {path}")
+    return records
+
+
+#: Endings of sequence files. Fixed values.
+ENDINGS = (".fasta", ".fa", ".fna", ".fasta.gz", ".fa.gz", ".fna.gz")
+
+
+def discovered(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, name, group, bytes) of the sequence files below a folder; group is the first folder below it, un_grouped for files in the folder itself. Files without bytes are not listed."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("length").alias("bytes"))
+    known = files.filter(F.lower("path").rlike("(" + "|".join(e.replace(".", r"\.") for e in ENDINGS) + ")$"))
+    base = folder.removeprefix("file://").rstrip("/") + "/"
+    parts = F.split(F.regexp_replace("path", rf"^.*?\Q{base}\E", ""), "/")
+    return known.select("path", F.element_at(parts, -1).alias("name"), F.when(F.size(parts) > 1, parts[0]).otherwise("un_grouped").alias("group"), "bytes").orderBy("path")
+
+
+def fasta_in_zip(spark: SparkSession, path: str, member: str, only_usable: bool = False, max_records: int | None = None) -> DataFrame:
+    """(record_no, record_id, sequence) of one FASTA member of ZIP files; an error names the members if it is missing.
+
+    only_usable keeps repeats of 23 to 47 known bases or N. Reading of a file ends with the
+    first kept record that is the max_records-th or a later one read.
+    """
 
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
+        import re
         import zipfile
 
         for files in batches:
@@ -52,8 +98,17 @@ def fasta_in_zip(spark: SparkSession, path: str, member: str) -> DataFrame:
                 if member not in archive.namelist():
                     raise ValueError(f"{member} is not among {archive.namelist()}")
                 with archive.open(member) as f:
+                    rows = []
                     for no, record in enumerate(_records(io.TextIOWrapper(f, "utf-8", "replace"))):
-                        yield pd.DataFrame([(no, *record)], columns=["record_no", "record_id", "sequence"])
+                        if only_usable and not re.fullmatch("[ACGTN]{23,47}", record[1]):
+                            continue
+                        rows.append((no, *record))
+                        if max_records is not None and no + 1 >= max_records:
+                            break
+                        if len(rows) == 5000:
+                            yield pd.DataFrame(rows, columns=["record_no", "record_id", "sequence"])
+                            rows = []
+                    yield pd.DataFrame(rows, columns=["record_no", "record_id", "sequence"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unzip, "record_no bigint, record_id string, sequence string")
 

@@ -18,6 +18,25 @@ def save_run(folder: str, tables: dict[str, DataFrame], metadata: dict[str, obje
         flat.write.mode("errorifexists").option("header", True).csv(f"{folder}/csv/{name}")
 
 
+def saved_run(spark, folder: str, required: tuple[str, ...] = (), optional: tuple[str, ...] = ()) -> dict[str, DataFrame] | None:
+    """The tables of a saved run by name; None where a required one is missing, and no entry for an optional one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    found = {}
+    for name in (*required, *optional):
+        where = path(f"{folder}/parquet/{name}")
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            found[name] = spark.read.parquet(f"{folder}/parquet/{name}")
+        elif name in required:
+            return None
+    return found
+
+
+def save_tables(folder: str, tables: dict[str, DataFrame]) -> None:
+    """Audit tables as tab-separated text with header, one folder per name; an existing one is replaced."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("header", True).option("sep", "\t").csv(f"{folder}/{name}")
+
+
 def write_fasta(records: DataFrame, path: str, name: Column | None = None) -> None:
     """Records (record_id, sequence) as FASTA text, one line per sequence."""
     records.select(F.concat(F.lit(">"), name if name is not None else F.col("record_id"), F.lit("\n"), "sequence").alias("value")).write.text(path)
