@@ -237,13 +237,14 @@ def readable(arrays: DataFrame) -> DataFrame:
 def surviving_records(arrays: DataFrame) -> DataFrame:
     """One row per group of duplicates and per row without duplicate: group_id, records, every field, and the least posterior among them."""
     read = readable(arrays).withColumn("taxonomy", F.when(F.col("taxonomy") != "", F.col("taxonomy")))
-    grouped = written(read.join(groups(arrays), "row_id"), "grouped")
+    placed = written(read.join(groups(arrays), "row_id", "left"), "placed")
+    grouped = placed.filter("group_id is not null")
     chosen = fuse(grouped, "group_id", "source", list(FIELDS), "trust", "called_at")
     sizes = grouped.groupBy("group_id").agg(F.count("*").alias("records"))
-    wide = chosen.groupBy("group_id").pivot("field", list(FIELDS)).agg(F.first("value"))
-    sure = chosen.groupBy("group_id").agg(F.min("posterior").alias("least_posterior"))
-    fused = sizes.join(wide, "group_id", "left").join(sure, "group_id", "left")
-    alone = read.join(grouped.select("row_id"), "row_id", "left_anti").select(
+    # one value per field, so a group's map stays as small as the list of fields
+    wide = chosen.groupBy("group_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("values"), F.min("posterior").alias("least_posterior"))
+    fused = sizes.join(wide, "group_id", "left").select("group_id", "records", *[F.col("values")[f].alias(f) for f in FIELDS], "least_posterior")
+    alone = placed.filter("group_id is null").select(
         F.col("row_id").alias("group_id"), F.lit(1).cast("bigint").alias("records"), *FIELDS, F.lit(None).cast("double").alias("least_posterior")
     )
-    return fused.select(*alone.columns).unionByName(alone)
+    return fused.unionByName(alone)
