@@ -100,7 +100,8 @@ def pair_evidence(hits: DataFrame) -> DataFrame:
         F.count_if(F.col("pam_match")).alias("pam_supported_hits"),
         F.count("pam_match").alias("pam_evaluated_hits"),
         F.max("pam_compatibility_score").alias("_best"),
-        F.avg("pam_compatibility_score").alias("_mean"),
+        # whole millionths, so that the mean does not depend on the order of hits
+        (F.sum(F.rint(F.col("pam_compatibility_score") * 1e6).cast("bigint")) / (F.count("pam_compatibility_score") * 1e6)).alias("_mean"),
         F.count("seed_mismatches").alias("seed_evaluated_hits"),
         F.min("seed_mismatches").alias("best_seed_mismatches"),
         F.max("confidence").alias("_confidence"),

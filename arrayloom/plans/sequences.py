@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arrayloom.functions.dna import reverse_complement
-from arrayloom.operators import builders, detect, evidence, matching, pam
+from arrayloom.operators import builders, detect, evidence, matching, neighbours, pam
+from arrayloom.plans.training import _LAB, labelled
 from arrayloom.runtime import table, written
 
 CLASSES = 997
@@ -63,6 +64,41 @@ def seq_spacers(spark: SparkSession, folder: str) -> DataFrame:
     return detect.spacer_table(_arrays(spark, folder)).drop("contig_id")
 
 
+def long_bacteria(spark: SparkSession, folder: str) -> DataFrame:
+    """One contig per strain: the contigs of its records in order, in one sequence of several tiles; arrays run on from one to the next but for every third."""
+    rows = bacteria(spark, folder).groupBy("bacterium").agg(F.sort_array(F.collect_list(F.struct("record_no", "sequence"))).alias("all"))
+    return rows.select(F.col("bacterium").alias("genome_id"), F.lit("c1").alias("contig_id"), F.lit(0).cast("bigint").alias("record_no"), F.array_join(F.transform("all", lambda x: F.concat(x["sequence"], F.when(x["record_no"] % 3 == 0, dna(_join("j", x["record_no"]))).otherwise(""))), "").alias("sequence"))
+
+
+def long_phages(spark: SparkSession, folder: str) -> DataFrame:
+    """One sequence per clade, of all its records."""
+    rows = phages(spark, folder).groupBy("phage").agg(F.sort_array(F.collect_list(F.struct("record_no", "sequence"))).alias("all"))
+    return rows.select(F.col("phage").alias("phage_id"), F.lit("c1").alias("phage_contig"), F.array_join(F.transform("all", lambda x: x["sequence"]), "").alias("sequence"))
+
+
+def seq_long_arrays(spark: SparkSession, folder: str) -> DataFrame:
+    """Detection in contigs that hold many arrays with the same few repeats."""
+    return detect.detect_arrays(long_bacteria(spark, folder)).select("array_id", "genome_id", "start", "end", "repeat_consensus", "repeat_count", F.array_join("spacers", ",").alias("spacers"))
+
+
+def _mixed_spacers(spark: SparkSession, folder: str) -> DataFrame:
+    """The first spacers of all records, cut to 32, 21, 13 and 7 bases in turn."""
+    rid = F.col("record_no")
+    cut = F.element_at(F.array(F.lit(32), F.lit(21), F.lit(13), F.lit(7)), (rid % 4 + 1).cast("int"))
+    return bacteria(spark, folder).select("record_no", F.concat("genome_id", F.lit("|1")).alias("spacer_id"), dna(_join("c", rid % CLASSES, "s", F.lit(1))).substr(F.lit(1), cut).alias("spacer"))
+
+
+def hit_long_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """Spacers of several lengths, short ones too, in sequences of several tiles."""
+    return matching.exact_hits(_mixed_spacers(spark, folder), long_phages(spark, folder)).drop("phage_contig")
+
+
+def hit_long_fuzzy(spark: SparkSession, folder: str) -> DataFrame:
+    """Spacers of 32 and 21 bases within two mismatches, in the same sequences."""
+    some = _mixed_spacers(spark, folder).filter(F.length("spacer") > 13)
+    return matching.fuzzy_hits(some, long_phages(spark, folder), max_mismatches=2).drop("phage_contig")
+
+
 def _known_spacers(spark: SparkSession, folder: str) -> DataFrame:
     """The spacers as they were laid into the records, for queries that start after detection."""
     rid = F.col("record_no")
@@ -156,18 +192,39 @@ def seq_composition(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("bacterium").agg(F.count("*").alias("records"), F.sum(F.length("sequence")).alias("bases"), F.coalesce(F.sum("arrays"), F.lit(0)).alias("arrays"), F.coalesce(F.sum("spacers"), F.lit(0)).alias("spacers"))
 
 
+#: Subtypes of the five repeats that arrays are laid with; the last two stand in the training table with another last base.
+PLANTED = ("I-E", "I-F", "I-A", "II-A", "V-A")
+
+
+def _known_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """(ref_id, text, label): all labelled training repeats, and one for each repeat that arrays are laid with."""
+    known = labelled(spark, folder).filter("split = 'train'").select(F.col("row_id").alias("ref_id"), F.col("repeat_sequence").alias("text"), F.col("cas_subtype").alias("label"))
+    k = F.col("id")
+    repeat = F.substring(dna(_join("r", k)), 1, 28)
+    last = F.when(k > 2, F.translate(F.right(repeat, F.lit(1)), "ACGT", "CGTA")).otherwise(F.right(repeat, F.lit(1)))
+    planted = spark.range(len(PLANTED)).select((k - 10).alias("ref_id"), F.concat(F.left(repeat, F.lit(27)), last).alias("text"), F.element_at(F.array(*[F.lit(x) for x in PLANTED]), (k + 1).cast("int")).alias("label"))
+    return known.unionByName(planted)
+
+
+def seq_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """The subtype of every detected array from its nearest labelled repeat."""
+    return neighbours.predicted_subtypes(_arrays(spark, folder).select("array_id", "repeat_consensus"), _known_repeats(spark, folder))
+
+
 def detected_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole way: detection, exact matching, annotation, scored pairs."""
-    arrays = written(detect.spacer_table(_arrays(spark, folder)), "spacers")
+    """The whole way: detection, prediction of subtypes, exact matching, annotation, scored pairs."""
+    found = written(_arrays(spark, folder), "arrays")
+    arrays = written(detect.spacer_table(found), "spacers")
     target = phages(spark, folder)
     hits = matching.with_flanks(matching.exact_hits(arrays, target), target).join(arrays.select("spacer_id", "array_id", "genome_id", "spacer"), "spacer_id")
     named = hits.join(bacteria(spark, folder).select("genome_id", "bacterium"), "genome_id").join(target.select("phage_id", "phage"), "phage_id")
-    return evidence.pair_evidence(evidence.annotate(named, _predictions(spark, folder)).withColumns({"identity": F.lit(1.0), "coverage": F.lit(1.0)}))
+    said = neighbours.predicted_subtypes(found.select("array_id", "repeat_consensus"), _known_repeats(spark, folder))
+    return evidence.pair_evidence(evidence.annotate(named, said).withColumns({"identity": F.lit(1.0), "coverage": F.lit(1.0)}))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (seq_arrays, seq_spacers, hit_exact, hit_fuzzy, hit_flanks, pam_evaluations, hit_annotated, pam_subtype_support, matrix_pairs, matrix_evidence, matrix_top_pairs, matrix_heatmap, hit_targeting_features, seq_genome_kmers, seq_composition, detected_matrix)
+    for f in (seq_predictions, seq_long_arrays, hit_long_exact, hit_long_fuzzy, seq_arrays, seq_spacers, hit_exact, hit_fuzzy, hit_flanks, pam_evaluations, hit_annotated, pam_subtype_support, matrix_pairs, matrix_evidence, matrix_top_pairs, matrix_heatmap, hit_targeting_features, seq_genome_kmers, seq_composition, detected_matrix)
 }
 
 _DNA = "translate(md5({0}), '0123456789abcdef', 'ACGTACGTACGTACGT')"
@@ -247,6 +304,12 @@ _JUDGE = """tried AS (SELECT *, CASE side WHEN '5' THEN flank_5p WHEN '3' THEN f
     CASE WHEN side <> '' AND length(flank) >= k THEN round_even(list_sum(list_transform(range(1, k + 1), lambda i: CASE WHEN (substr(motif, i, 1) IN ('N', substr(win, i, 1))) OR (substr(motif, i, 1) = 'W' AND substr(win, i, 1) IN ('A', 'T')) THEN 1.0 ELSE 0.0 END)) / k * 1000000.0, 0) / 1000000.0 END AS score,
     CASE WHEN side <> '' AND length(flank) >= k THEN coalesce(pos, 0) END AS "offset" FROM chosen)"""
 
+_PRED_RULE = f"pred AS (SELECT genome_id || '|c1|array_1' AS array_id, nullif([{', '.join(f"'{s}'" for s in SUBTYPES)}][record_id % {len(SUBTYPES)} + 1], '') AS cas_subtype, (record_id % 21) / 20.0 AS confidence FROM bact)"
+# Brute force: every different detected repeat against all training repeats and those that arrays are laid with.
+_NEAREST = f"""{_ARRAYS[len(DATA_SQL) + 1:]}, {_LAB}, five AS (SELECT k, substr({_d("'r' || k")}, 1, 28) AS t FROM range(0, 5) r(k)), asked AS (SELECT DISTINCT repeat_consensus AS q FROM arrays),
+  refs AS (SELECT row_id AS ref_id, repeat_sequence AS t, cas_subtype AS label FROM cur UNION ALL SELECT k - 10, left(t, 27) || CASE WHEN k > 2 THEN translate(right(t, 1), 'ACGT', 'CGTA') ELSE right(t, 1) END, {list(PLANTED)}[k + 1] FROM five),
+  alike AS (SELECT q, ref_id, label, round_even((least(length(q), length(t)) - hamming(substr(q, 1, least(length(q), length(t))::BIGINT), substr(t, 1, least(length(q), length(t))::BIGINT))) / greatest(length(q), length(t)) * 1000000.0, 0) / 1000000.0 AS i FROM asked, refs),
+  top AS (SELECT q, label, i FROM alike QUALIFY row_number() OVER (PARTITION BY q ORDER BY i DESC, ref_id) = 1), nearest AS (SELECT array_id, label AS cas_subtype, i AS confidence FROM arrays JOIN top ON q = repeat_consensus)"""
 _SUBTYPE_LIST = "[" + ", ".join(f"'{s}'" for s in SUBTYPES) + "]"
 _ANNOTATED = f"""{_HITS}, {_rules(_CURATED)},
   subs(cas_subtype, rule) AS (VALUES ('I-E', '5prime:AWG'), ('I-F', 'genomic_3prime:GG'), ('I-A', '5prime:CCN'), ('II-A', '3prime:NGG'), ('V-A', '5prime:TTTN')),
@@ -261,7 +324,7 @@ _ANNOTATED = f"""{_HITS}, {_rules(_CURATED)},
 
 _EVIDENCE = f"""{_ANNOTATED},
   agg AS (SELECT bacterium, phage, count(*) AS spacer_hits, count(DISTINCT spacer_id) AS n, count(*) FILTER (pam_match) AS sup, count(pam_match) AS ev, max(pam_compatibility_score) AS best,
-    avg(pam_compatibility_score) AS mean, count(seed_mismatches) AS se, min(seed_mismatches) AS seed, max(confidence) AS conf FROM ann GROUP BY ALL),
+    sum(CAST(round_even(pam_compatibility_score * 1000000.0, 0) AS BIGINT)) / (count(pam_compatibility_score) * 1000000.0) AS mean, count(seed_mismatches) AS se, min(seed_mismatches) AS seed, max(confidence) AS conf FROM ann GROUP BY ALL),
   scored AS (SELECT *, {_even("least(CASE WHEN sup = 0 AND ev > 0 THEN 39.0 ELSE 100.0 END, greatest(0.0, least(35.0, log2(n + 1) * 18.0) + 25.0 + CASE WHEN sup > 0 THEN 20.0 WHEN ev > 0 THEN -25.0 ELSE 0.0 END + CASE WHEN sup > 0 AND seed = 0 THEN 10.0 ELSE 0.0 END + greatest(0.0, least(10.0, conf * 10.0))))", 2)} AS score,
     {_even("least(CASE WHEN best IS NULL OR best >= 1 THEN 100.0 WHEN best >= 0.75 THEN 70.0 WHEN best >= 0.5 THEN 55.0 ELSE 39.0 END, greatest(0.0, least(35.0, log2(n + 1) * 18.0) + 25.0 + coalesce(" + _even("20.0 * best + 10.0 * mean - 15.0", 6) + ", 0.0) + CASE WHEN best >= 1 AND seed = 0 THEN 10.0 ELSE 0.0 END + greatest(0.0, least(10.0, conf * 10.0))))", 2)} AS wscore FROM agg),
   pairs AS (SELECT bacterium, phage, score AS crispr_targeting_score, wscore AS experimental_pam_weighted_score, spacer_hits, n AS unique_matching_spacers, CAST(100 AS DOUBLE) AS best_identity_percent, CAST(100 AS DOUBLE) AS best_coverage_percent,
@@ -280,7 +343,30 @@ _FUZZY = f"""{DATA_SQL}, cand AS (SELECT spacer_id, phage_id, phage, query, stra
   near AS (SELECT *, row_number() OVER (PARTITION BY spacer_id ORDER BY mm, edge, phage_id, strand, p) AS place FROM meas WHERE 1 - mm / 32.0 >= 0.85),
   fuzzy AS (SELECT spacer_id, phage_id, phage, strand, p + 1 AS start, p + 32 AS "end", 1 - mm / 32.0 AS identity, mm AS mismatches, 32 AS spacer_length, edge AS edge_mismatches, mm - edge AS distal_mismatches FROM near WHERE place <= 5)"""
 
+_LONG = f"""{DATA_SQL}, recs AS (SELECT bacterium AS genome_id, string_agg(fa || r || s1 || r || s2 || r || s3 || r || fz || CASE WHEN record_id % 3 = 0 THEN {_d("'j' || record_id")} ELSE '' END, '' ORDER BY record_id) AS seq FROM bact GROUP BY 1),
+  places AS (SELECT genome_id, seq, unnest(range(0, length(seq) - 22)) AS pos FROM recs),
+  reps AS (SELECT genome_id, size, pos, substr(seq, pos + 1, size) AS rep FROM places, range(23, 48) l(size) WHERE pos + size <= length(seq)),
+  often AS (SELECT *, count(*) OVER (PARTITION BY genome_id, rep) AS n, min(pos) OVER (PARTITION BY genome_id, rep) AS first_at, pos - lag(pos) OVER (PARTITION BY genome_id, rep ORDER BY pos) - size AS gap FROM reps),
+  good AS (SELECT *, sum(CASE WHEN gap BETWEEN 20 AND 72 THEN 0 ELSE 1 END) OVER (PARTITION BY genome_id, rep ORDER BY pos) AS chain FROM often WHERE n >= 3
+    AND greatest(size - length(replace(rep, 'A', '')), size - length(replace(rep, 'C', '')), size - length(replace(rep, 'G', '')), size - length(replace(rep, 'T', ''))) / size <= 0.8
+    AND (size - length(translate(rep, 'GC', ''))) / size BETWEEN 0.2 AND 0.8),
+  chains AS (SELECT genome_id, rep, size, first_at, list(pos ORDER BY pos) AS places FROM good GROUP BY genome_id, rep, size, first_at, chain HAVING count(*) >= 3),
+  cands AS (SELECT genome_id, list({{'few': -len(places), 'short': places[1] + 1 - (places[len(places)] + size), 'narrow': -size, 'first_at': first_at, 's': places[1] + 1, 'e': places[len(places)] + size, 'rep': rep, 'places': places}}
+    ORDER BY -len(places), places[1] + 1 - (places[len(places)] + size), -size, first_at, places[1]) AS cs FROM chains GROUP BY genome_id),
+  kept AS (SELECT genome_id, unnest(list_reduce(list_transform(cs, lambda c: [c]), lambda acc, c:
+    CASE WHEN len(list_filter(acc, lambda k: greatest(0, least(c[1].e, k.e) - greatest(c[1].s, k.s) + 1) / least(c[1].e - c[1].s + 1, k.e - k.s + 1) > 0.5)) > 0 THEN acc ELSE list_concat(acc, c) END)) AS c FROM cands),
+  arrays AS (SELECT genome_id, genome_id || '|c1|array_' || row_number() OVER (PARTITION BY genome_id ORDER BY c.s, c.e) AS array_id, c FROM kept)"""
+_MIXED = f"""{DATA_SQL}, clades AS (SELECT phage AS phage_id, string_agg(seq, '' ORDER BY CAST(substr(phage_id, 2) AS BIGINT)) AS seq FROM phag GROUP BY 1),
+  cut AS (SELECT genome_id || '|1' AS spacer_id, substr(s1, 1, [32, 21, 13, 7][record_id % 4 + 1]) AS spacer FROM bact),
+  both_strands AS (SELECT spacer_id, spacer AS query, '+' AS strand FROM cut UNION ALL SELECT spacer_id, {_rc('spacer')}, '-' FROM cut WHERE {_rc('spacer')} <> spacer),
+  wins AS (SELECT phage_id, p, n, substr(seq, p + 1, n) AS there FROM (SELECT phage_id, seq, unnest(range(0, length(seq))) AS p FROM clades), (VALUES (32), (21), (13), (7)) l(n) WHERE p + n <= length(seq))"""
 ORACLE = {
+    "seq_long_arrays": f"""WITH {_LONG} SELECT array_id, a.genome_id, c.s AS start, c.e AS "end", c.rep AS repeat_consensus, len(c.places) AS repeat_count,
+      array_to_string(list_transform(range(1, len(c.places)), lambda i: substr(seq, c.places[i] + length(c.rep) + 1, c.places[i + 1] - c.places[i] - length(c.rep))), ',') AS spacers FROM arrays a JOIN recs USING (genome_id)""",
+    "hit_long_exact": f"WITH {_MIXED} SELECT spacer_id, phage_id, strand, p + 1 AS start, p + n AS \"end\" FROM both_strands JOIN wins ON there = query",
+    "hit_long_fuzzy": f"""WITH {_MIXED}, c AS (SELECT spacer_id, phage_id, strand, p, n, hamming(query, there) AS mm, least(hamming(substr(query, 1, 8), substr(there, 1, 8)), hamming(right(query, 8), right(there, 8))) AS edge FROM both_strands, wins WHERE length(query) = n AND n > 13 AND hamming(query, there) <= 2),
+      r AS (SELECT *, row_number() OVER (PARTITION BY spacer_id ORDER BY mm, edge, phage_id, strand, p) AS no FROM c WHERE 1 - mm / n >= 0.85)
+      SELECT spacer_id, phage_id, strand, p + 1 AS start, p + n AS "end", 1 - mm / n AS identity, mm AS mismatches, n AS spacer_length, edge AS edge_mismatches, mm - edge AS distal_mismatches FROM r WHERE no <= 5""",
     "seq_arrays": f"WITH {_ARRAYS} SELECT array_id, genome_id, start, \"end\", repeat_consensus, repeat_length, repeat_count, array_to_string(spacers, ',') AS spacers, list_sum(list_transform(spacers, lambda s: length(s))) / len(spacers) AS mean_spacer_length FROM arrays",
     "seq_spacers": f"WITH {_ARRAYS}, s AS (SELECT array_id, genome_id, unnest(range(1, len(spacers) + 1)) AS spacer_index, unnest(spacers) AS spacer FROM arrays) SELECT array_id || '|spacer_' || spacer_index AS spacer_id, array_id, genome_id, spacer_index, spacer, length(spacer) AS spacer_length FROM s",
     "seq_genome_kmers": f"""WITH {DATA_SQL}, recs AS (SELECT bacterium, fa || r || s1 || r || s2 || r || s3 || r || fz AS s FROM bact),
@@ -296,7 +382,8 @@ ORACLE = {
     "hit_annotated": f"""WITH {_ANNOTATED} SELECT spacer_id, phage_id, strand, start, cas_subtype, pam_rule, CASE WHEN pam_rule IS NOT NULL THEN 'curated_subtype_catalog' WHEN cas_subtype IS NULL THEN 'not_available' WHEN confidence < 0.9 THEN 'subtype_confidence_below_threshold' ELSE 'no_curated_rule' END AS pam_rule_source,
       pam_match, pam_support_level, pam_compatibility_score, pam_offset, seed_region, seed_mismatches FROM ann""",
     "matrix_pairs": f"WITH {_EVIDENCE} SELECT * FROM pairs",
-    "detected_matrix": f"WITH {_EVIDENCE} SELECT * FROM pairs",
+    "detected_matrix": f"WITH {_EVIDENCE.replace(_PRED_RULE, f'{_NEAREST}, pred AS (SELECT * FROM nearest)')} SELECT * FROM pairs",
+    "seq_predictions": f"WITH {DATA_SQL}, {_NEAREST} SELECT * FROM nearest",
     "matrix_evidence": f"WITH {_GRID} SELECT * FROM matrix",
     "matrix_top_pairs": f"WITH {_EVIDENCE} SELECT bacterium, phage, crispr_targeting_score, unique_matching_spacers, spacer_hits FROM pairs ORDER BY crispr_targeting_score DESC, unique_matching_spacers DESC, spacer_hits DESC, bacterium, phage LIMIT 10",
     "matrix_heatmap": f"WITH {_GRID} SELECT bacterium, " + ", ".join(f"coalesce(max(unique_matching_spacers) FILTER (phage = 'clade_{i}'), 0) AS clade_{i}" for i in range(30)) + " FROM matrix GROUP BY bacterium",
