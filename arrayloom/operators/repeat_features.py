@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,19 +81,17 @@ def long_features(rows: DataFrame, row: str, text: str = "repeat_sequence", size
     return full.select(row, F.explode(F.concat(F.array(*plain), *kmers)).alias("f")).select(row, "f.*")
 
 
-def _value_in(shares: str):
-    return lambda name: F.coalesce(F.col(shares)[name], F.lit(0.0))
+def _every_share(of: Column, k: int, kind: str) -> Column:
+    """The shares of all k-mers in order. The map of those that occur is bound once, not made again for each k-mer."""
+    every = F.array(*[F.lit(f"{kind}_{k}_{''.join(p)}") for p in product(dna.BASES, repeat=k)])
+    return F.transform(F.array(F.map_from_entries(_shares(of, k, kind))), lambda known: F.transform(every, lambda name: F.coalesce(known[name], F.lit(0.0))))[0]
 
 
 def feature_vectors(rows: DataFrame, text: str = "repeat_sequence", sizes: tuple[int, ...] = SIZES) -> DataFrame:
     """rows with features: one vector of all features in the order of names(sizes)."""
     full = _prepared(rows, text)
-    for k in sizes:
-        for kind, of in (("kmer", "_s"), ("terminal_kmer", "_ends")):
-            full = full.withColumn(f"_{kind}_{k}", F.map_from_entries(_shares(F.col(of), k, kind)))
     parts = [F.array(*measures(full, text).values())]
-    for k in sizes:
-        for kind in ("kmer", "terminal_kmer"):
-            every = F.array(*[F.lit(f"{kind}_{k}_{''.join(p)}") for p in product(dna.BASES, repeat=k)])
-            parts.append(F.transform(every, _value_in(f"_{kind}_{k}")))
-    return full.withColumn("features", array_to_vector(F.concat(*parts))).select(*rows.columns, "features")
+    parts += [_every_share(F.col(of), k, kind) for k in sizes for kind, of in (("kmer", "_s"), ("terminal_kmer", "_ends"))]
+    # most shares are 0; the assembler keeps whichever of dense and sparse vectors is smaller
+    dense = full.withColumn("_all", array_to_vector(F.concat(*parts)))
+    return VectorAssembler(inputCols=["_all"], outputCol="features").transform(dense).select(*rows.columns, "features")

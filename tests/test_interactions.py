@@ -90,7 +90,7 @@ def test_named_features(spark):
     for r in repeat_features.long_features(df, "row_id").collect():
         long.setdefault(r.row_id, {})[r.feature] = r.value
     for row in (1, 2, 3, 4):
-        assert [long[row].get(n, 0.0) for n in names] == list(vectors[row])
+        assert [long[row].get(n, 0.0) for n in names] == list(vectors[row].toArray())
     assert long[1]["kmer_2_AC"] == 3 / 15 and long[1]["array_length_estimate"] == 17 * 4 + 90 and long[2]["repeat_length"] == 0
 
 
