@@ -234,7 +234,7 @@ def shared_stretches(documents: DataFrame, phrase: int = PHRASE, least: int = LE
     """
     members, links = _places(documents, phrase, least)
     # of a class the farthest reach to either side with any partner; partners reach it in one piece, as they share the phrase
-    sides = links.select(F.explode(F.array(F.col("a"), F.col("b"))).alias("c"), "left", "right")
+    sides = links.select(F.explode(F.array(F.col("a"), F.col("b"))).alias("c"), "left", "right").groupBy("c").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     spans = members.join(sides, "c").select("doc_id", (F.col("at") - F.col("left")).alias("begin"), (F.col("at") + phrase + F.col("right")).alias("end")).distinct()
     order = Window.partitionBy("doc_id").orderBy("begin", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -19,9 +19,10 @@ def shares(a, b, least):
     return any(b[i : i + least] in windows for i in range(len(b) - least + 1))
 
 
-@pytest.mark.parametrize("hot", [300, 1])
-def test_shared_spans(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "few"), [(300, 1_000_000), (1, 1_000_000), (300, 0)])
+def test_shared_spans(spark, monkeypatch, hot, few):
     monkeypatch.setattr(shared_spans, "HOT", hot)
+    monkeypatch.setattr(shared_spans, "FEW_IDS", few)
     common = [text(n) for n in (60, 79, 80, 81, 130, 200)]
     rows = [(1, None), (2, ""), (3, "." * 500), (4, "." * 90), (5, "." * 79)]
     for i in range(6, 60):
