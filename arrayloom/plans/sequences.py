@@ -53,7 +53,9 @@ def phages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _arrays(spark: SparkSession, folder: str) -> DataFrame:
-    return detect.detect_arrays(bacteria(spark, folder).select("genome_id", "contig_id", "record_no", "sequence"))
+    # the registry is one small file: its records are dealt out before their DNA is looked at
+    dealt = bacteria(spark, folder).select("genome_id", "contig_id", "record_no", "sequence").repartition(spark.sparkContext.defaultParallelism)
+    return detect.detect_arrays(dealt)
 
 
 def seq_arrays(spark: SparkSession, folder: str) -> DataFrame:
