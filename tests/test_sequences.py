@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,3 +171,26 @@ def test_structure(spark):
     df = spark.createDataFrame([("GAATTC",), ("AAAACCCCGTTTTT",), ("",), (None,)], "s string")
     got = [tuple(r)[1:] for r in dna.with_structure(df, "s").collect()]
     assert got[0] == (1.0, 3, 0.0) and got[1][1] == 4 and got[2] == (0.0, 0, 0.0) == got[3]
+
+
+@pytest.mark.parametrize("few", [0, 40_000])
+def test_equal_spacers_are_one_query(spark, few):
+    """Members of a text come out alike, each with its best places; few queries travel, more are joined."""
+    text = [bases(32), bases(21), "ACGN" * 6]
+    rows = [(f"s{i}", text[i % 3].lower() if i % 2 else text[i % 3]) for i in range(60)]
+    s = spark.createDataFrame(rows, "spacer_id string, spacer string")
+    worn = text[0][:9] + text[0][9].translate(str.maketrans("ACGT", "CGTA")) + text[0][10:]
+    long = bases(detect.TILE - 10) + text[0] + bases(detect.TILE) + rc(worn) + bases(3)
+    p = spark.createDataFrame([("p1", "c", long), ("p2", "c", text[1] + "é" + text[2]), ("p3", "c", ""), ("p4", "c", None)], "phage_id string, phage_contig string, sequence string")
+    exact = Counter((r.spacer_id, r.phage_id, r.strand, r.start) for r in matching.exact_hits(s, p, few).collect())
+    assert exact == Counter([(f"s{i}", *((("p1", "+", detect.TILE - 9), ("p2", "+", 1), ("p2", "+", 23))[i % 3])) for i in range(60)])
+    fuzzy = Counter((r.spacer_id, r.phage_id, r.strand, r.start, r.mismatches) for r in matching.fuzzy_hits(s, p, few=few).collect())
+    at = 2 * detect.TILE + 23
+    assert fuzzy == Counter([x for i in range(60) if i % 3 < 2 for x in ([(f"s{i}", "p1", "+", detect.TILE - 9, 0), (f"s{i}", "p1", "-", at, 1)], [(f"s{i}", "p2", "+", 1, 0)])[i % 3]])
+
+
+def test_equal_spacers_meet_phages_once(spark):
+    """Texts are looked for, not ids: the searched table has one row per text and place."""
+    own = spark.createDataFrame([("ACGTTGCAGGTA",)] * 50, "own string")
+    p = spark.createDataFrame([("p", "c", "TT" + "ACGTTGCAGGTA" + "CC")], "phage_id string, phage_contig string, sequence string")
+    assert [(r.own, r.strand, r.start, r.end) for r in matching.exact_places(own, p).collect()] == [("ACGTTGCAGGTA", "+", 3, 14)]
