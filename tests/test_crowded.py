@@ -32,3 +32,11 @@ def test_hit_alignments(spark, crowded, monkeypatch):
     # every spacer has its five best of the twelve phages
     assert Counter(Counter(r.spacer_id for r in rows).values()) == {5: 2 * 3 * BACTERIA}
     assert {(r.marks.count("|"), len(r.marks)) for r in rows} == {(32, 32), (30, 32)}
+
+
+def test_hit_targeting_features(spark, crowded, monkeypatch):
+    sent = searched(monkeypatch)
+    rows = sequences.hit_targeting_features(spark, crowded).collect()
+    assert sent == [12]
+    assert sum(r.fuzzy_spacer_candidate_count for r in rows) == 5 * 2 * 3 * BACTERIA
+    assert {r.best_fuzzy_spacer_mismatches for r in rows} == {0}
