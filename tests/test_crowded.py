@@ -40,3 +40,12 @@ def test_hit_targeting_features(spark, crowded, monkeypatch):
     assert sent == [12]
     assert sum(r.fuzzy_spacer_candidate_count for r in rows) == 5 * 2 * 3 * BACTERIA
     assert {r.best_fuzzy_spacer_mismatches for r in rows} == {0}
+
+
+def test_hit_long_fuzzy(spark, crowded, monkeypatch):
+    sent = searched(monkeypatch)
+    rows = sequences.hit_long_fuzzy(spark, crowded).collect()
+    # record numbers of the classes are divisible by four or leave one: 32 and 21 bases
+    assert sent == [4]
+    assert Counter(Counter(r.spacer_id for r in rows).values()) == {5: 2 * BACTERIA}
+    assert {(r.spacer_length, r.mismatches, r.strand) for r in rows} == {(32, 0, "+"), (21, 0, "+")}
