@@ -49,3 +49,11 @@ def test_hit_long_fuzzy(spark, crowded, monkeypatch):
     assert sent == [4]
     assert Counter(Counter(r.spacer_id for r in rows).values()) == {5: 2 * BACTERIA}
     assert {(r.spacer_length, r.mismatches, r.strand) for r in rows} == {(32, 0, "+"), (21, 0, "+")}
+
+
+def test_hit_long_exact(spark, crowded, monkeypatch):
+    sent = searched(monkeypatch)
+    rows = sequences.hit_long_exact(spark, crowded).collect()
+    assert sent == [4]
+    assert Counter(Counter(r.spacer_id for r in rows).values()) == {PHAGES: 2 * BACTERIA}
+    assert len({(r.spacer_id, r.phage_id, r.start) for r in rows}) == len(rows)
