@@ -23,15 +23,20 @@ def annotate(hits: DataFrame, predictions: DataFrame, default_rule: str = "", ba
     first, then from the bacterium's, then from the curated catalog if the
     prediction is sure enough, then from the default; rule_source says which.
     """
-    catalog = F.create_map(*[F.lit(x) for pair in CURATED_RULES.items() for x in pair])
     override = F.col("override_rule") if "override_rule" in predictions.columns else F.lit(None).cast("string")
     dims = predictions.select("array_id", "cas_subtype", "confidence", F.nullif(F.trim(override), F.lit("")).alias("override"))
-    curated = F.when(F.col("confidence") >= MIN_CONFIDENCE, catalog[F.col("cas_subtype")])
-    fallback = F.lit(default_rule or None).cast("string")
     hits = hits.withColumn("own_rule", F.lit(None).cast("string"))
     if bacterium_rules is not None:
         own = bacterium_rules.groupBy("bacterium").agg(F.min(F.nullif(F.trim("rule"), F.lit(""))).alias("own_rule"))
         hits = hits.drop("own_rule").join(own, "bacterium", "left")
+    return _evaluated(_with_rule(hits.join(dims, "array_id", "left"), default_rule))
+
+
+def _with_rule(rows: DataFrame, default_rule: str = "") -> DataFrame:
+    """rows (override, own_rule, cas_subtype, confidence) with pam_rule and pam_rule_source."""
+    catalog = F.create_map(*[F.lit(x) for pair in CURATED_RULES.items() for x in pair])
+    curated = F.when(F.col("confidence") >= MIN_CONFIDENCE, catalog[F.col("cas_subtype")])
+    fallback = F.lit(default_rule or None).cast("string")
     source = (
         F.when(F.col("override").isNotNull(), "array_override")
         .when(F.col("own_rule").isNotNull(), "bacterium_override")
@@ -41,7 +46,11 @@ def annotate(hits: DataFrame, predictions: DataFrame, default_rule: str = "", ba
         .when(F.col("confidence") < MIN_CONFIDENCE, "subtype_confidence_below_threshold")
         .otherwise("no_curated_rule")
     )
-    ruled = hits.join(dims, "array_id", "left").withColumn("pam_rule", F.coalesce("override", "own_rule", curated, fallback)).withColumn("pam_rule_source", source).drop("override", "own_rule")
+    return rows.withColumn("pam_rule", F.coalesce("override", "own_rule", curated, fallback)).withColumn("pam_rule_source", source).drop("override", "own_rule")
+
+
+def _evaluated(ruled: DataFrame) -> DataFrame:
+    """ruled (pam_rule, flanks, spacer, protospacer) with the rule's evaluation and the seed's mismatches."""
     judged = with_evaluation(ruled, F.col("pam_rule"), "flank_5p", "flank_3p", "genomic_upstream", "genomic_downstream")
     seeded = judged.withColumn("seed", seed_mismatches(F.col("spacer"), F.col("protospacer"), F.coalesce(seed_side(F.col("pam_rule")), F.lit(""))))
     return seeded.select(
@@ -108,6 +117,54 @@ def pair_evidence(hits: DataFrame) -> DataFrame:
         F.bool_or(F.col("pam_support_level") == "insufficient_flank").alias("_short"),
         F.bool_or(F.col("pam_support_level") == "invalid_rule").alias("_invalid"),
     )
+    return _scored(counted)
+
+
+def pair_evidence_of_texts(places: DataFrame, spacers: DataFrame, default_rule: str = "") -> DataFrame:
+    """pair_evidence without a row per hit: places of texts are judged once per rule and counted for all spacers that have the text.
+
+    places: own (a spacer's text in upper case), phage, protospacer and flanks;
+    spacers: spacer_id (of one row each), own, bacterium, cas_subtype and
+    confidence. Hits are exact, their identity and coverage 1.
+    """
+    null = F.lit(None).cast("string")
+    ruled = _with_rule(spacers.withColumns({"override": null, "own_rule": null}), default_rule)
+    key = ["own", "rule"]
+    groups = ruled.groupBy("own", F.coalesce("pam_rule", F.lit("")).alias("rule"), "bacterium").agg(F.count("*").alias("_n"), F.max("confidence").alias("_sure"))
+    judged = _evaluated(places.join(groups.select(*key).distinct(), "own").withColumns({"pam_rule": F.nullif("rule", F.lit("")), "spacer": F.col("own")}))
+    per_text = judged.groupBy(*key, "phage").agg(
+        F.count("*").alias("_hits"),
+        F.count_if(F.col("pam_match")).alias("_supported"),
+        F.count("pam_match").alias("_judged"),
+        F.max("pam_compatibility_score").alias("_top"),
+        F.sum(F.rint(F.col("pam_compatibility_score") * 1e6).cast("bigint")).alias("_sum"),
+        F.count("pam_compatibility_score").alias("_scores"),
+        F.count("seed_mismatches").alias("_seeds"),
+        F.min("seed_mismatches").alias("_seed"),
+        F.bool_or(F.col("pam_support_level") == "insufficient_flank").alias("_short"),
+        F.bool_or(F.col("pam_support_level") == "invalid_rule").alias("_invalid"),
+    )
+    n = F.col("_n")
+    counted = per_text.join(groups, key).groupBy("bacterium", "phage").agg(
+        F.sum(n * F.col("_hits")).alias("spacer_hits"),
+        F.sum(n).alias("unique_matching_spacers"),
+        F.lit(1.0).alias("_identity"),
+        F.lit(1.0).alias("_coverage"),
+        F.sum(n * F.col("_supported")).alias("pam_supported_hits"),
+        F.sum(n * F.col("_judged")).alias("pam_evaluated_hits"),
+        F.max("_top").alias("_best"),
+        (F.sum(n * F.col("_sum")) / F.nullif(F.sum(n * F.col("_scores")) * 1e6, F.lit(0.0))).alias("_mean"),
+        F.sum(n * F.col("_seeds")).alias("seed_evaluated_hits"),
+        F.min("_seed").alias("best_seed_mismatches"),
+        F.max("_sure").alias("_confidence"),
+        F.bool_or("_short").alias("_short"),
+        F.bool_or("_invalid").alias("_invalid"),
+    )
+    return _scored(counted)
+
+
+def _scored(counted: DataFrame) -> DataFrame:
+    """Pairs with their scores and level, from counts and bests."""
     n, i, c, s, v = (F.col(x) for x in ("unique_matching_spacers", "_identity", "_coverage", "pam_supported_hits", "pam_evaluated_hits"))
     support = F.when(s > 0, "compatible").when(v > 0, "not_supported").when(F.col("_short"), "insufficient_flank").when(F.col("_invalid"), "invalid_rule").otherwise("not_evaluated")
     score = targeting_score(n, i, c, s, v, F.col("best_seed_mismatches"), F.col("_confidence"))
@@ -149,19 +206,39 @@ def subtype_support(hits: DataFrame, rules: dict[str, str] | None = None) -> Dat
     hits need hit_no, an order of hits, by which the first prediction is taken.
     """
     rules = rules or CURATED_RULES
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("subtype"), F.lit(v).alias("rule")) for k, v in rules.items()])).alias("r")
-    tried = hits.select("array_id", "hit_no", "flank_5p", "flank_3p", "genomic_upstream", "genomic_downstream", each)
-    judged = with_evaluation(tried, F.col("r.rule"), "flank_5p", "flank_3p", "genomic_upstream", "genomic_downstream")
-    counts = judged.groupBy("array_id", F.col("r.subtype").alias("subtype")).agg(F.count_if("pam.pam_match").alias("n")).filter("n > 0")
-    listed = counts.groupBy("array_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("minus"), "subtype", "n"))).alias("all"))
+    counts = _rule_counts(hits, "array_id", rules)
     first = hits.groupBy("array_id").agg(
-        F.count("*").alias("spacer_hit_count"),
         F.min_by("cas_subtype", F.when(F.coalesce("cas_subtype", F.lit("")) != "", F.col("hit_no"))).alias("predicted"),
         F.min_by("confidence", F.when(F.col("confidence").isNotNull(), F.col("hit_no"))).alias("confidence"),
     )
-    joined = first.join(listed, "array_id", "left").join(
-        counts.select("array_id", F.col("subtype").alias("predicted"), F.col("n").alias("own")), ["array_id", "predicted"], "left"
-    )
+    return _agreement(first.join(counts, "array_id"), rules)
+
+
+def subtype_support_of_texts(places: DataFrame, spacers: DataFrame, predictions: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
+    """subtype_support without a row per hit: places of texts (own, flanks) are judged once and summed for the arrays of spacers (array_id, own).
+
+    predictions: array_id (of one row each), cas_subtype, confidence.
+    """
+    rules = rules or CURATED_RULES
+    per_text = _rule_counts(places, "own", rules)
+    counts = spacers.select("array_id", "own").join(per_text, "own").groupBy("array_id").agg(*[F.sum(c).alias(c) for c in per_text.columns if c != "own"])
+    said = predictions.select("array_id", F.nullif("cas_subtype", F.lit("")).alias("predicted"), "confidence")
+    return _agreement(counts.join(said, "array_id", "left"), rules)
+
+
+def _rule_counts(hits: DataFrame, key: str, rules: dict[str, str]) -> DataFrame:
+    """Per key: spacer_hit_count, and for each of the rules in order the number of hits (_0, _1, ...) whose flanks fit it."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.lit(v).alias("rule")) for i, v in enumerate(rules.values())])).alias("r")
+    tried = hits.select(key, "flank_5p", "flank_3p", "genomic_upstream", "genomic_downstream", each)
+    judged = with_evaluation(tried, F.col("r.rule"), "flank_5p", "flank_3p", "genomic_upstream", "genomic_downstream")
+    fits = [F.count_if((F.col("r.no") == i) & F.col("pam.pam_match")).alias(f"_{i}") for i in range(len(rules))]
+    return judged.groupBy(key).agg(F.count_if(F.col("r.no") == 0).alias("spacer_hit_count"), *fits)
+
+
+def _agreement(rows: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """rows (array_id, predicted, confidence and the counts of _rule_counts) with what they say of the prediction."""
+    all_of = F.array(*[F.struct((-F.col(f"_{i}")).alias("minus"), F.lit(k).alias("subtype"), F.col(f"_{i}").alias("n")) for i, k in enumerate(rules)])
+    joined = rows.withColumn("all", F.sort_array(F.filter(all_of, lambda x: x["n"] > 0))).withColumn("own", F.get(F.filter("all", lambda x: x["subtype"] == F.col("predicted")), F.lit(0))["n"])
     top, top_n, own = F.get("all", F.lit(0))["subtype"], F.coalesce(F.get("all", F.lit(0))["n"], F.lit(0)), F.coalesce("own", F.lit(0))
     agreement = (
         F.when(top.isNull(), "no_pam_subtype_support")
@@ -174,7 +251,7 @@ def subtype_support(hits: DataFrame, rules: dict[str, str] | None = None) -> Dat
     return joined.select(
         "array_id", "spacer_hit_count", F.coalesce("predicted", F.lit("")).alias("repeat_predicted_cas_subtype"), F.col("confidence").alias("repeat_prediction_confidence"),
         F.coalesce(top, F.lit("")).alias("top_pam_supported_subtype"), top_n.alias("top_pam_support_count"), own.alias("repeat_predicted_subtype_pam_support_count"),
-        F.coalesce(F.array_join(F.transform("all", lambda x: x["subtype"]), ";"), F.lit("")).alias("pam_supported_subtypes"), agreement.alias("repeat_pam_subtype_agreement"),
+        F.array_join(F.transform("all", lambda x: x["subtype"]), ";").alias("pam_supported_subtypes"), agreement.alias("repeat_pam_subtype_agreement"),
     )
 
 

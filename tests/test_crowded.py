@@ -57,3 +57,20 @@ def test_hit_long_exact(spark, crowded, monkeypatch):
     assert sent == [4]
     assert Counter(Counter(r.spacer_id for r in rows).values()) == {PHAGES: 2 * BACTERIA}
     assert len({(r.spacer_id, r.phage_id, r.start) for r in rows}) == len(rows)
+
+
+def judged(monkeypatch):
+    """How many rows the PAM rules were tried on, per call."""
+    tried = []
+    for place in (sequences.pam, sequences.evidence):
+        whole = place.with_evaluation
+        monkeypatch.setattr(place, "with_evaluation", lambda df, *more, whole=whole: tried.append(df.count()) or whole(df, *more))
+    return tried
+
+
+def test_pam_evaluations(spark, crowded, monkeypatch):
+    tried = judged(monkeypatch)
+    rows = sequences.pam_evaluations(spark, crowded).collect()
+    # two spacers of a class are exact in its phages; eight rules
+    assert tried == [2 * 2 * PHAGES * 8]
+    assert len(rows) == len({(r.spacer_id, r.phage_id, r.start, r.rule) for r in rows}) == 2 * 2 * PHAGES * 8 * BACTERIA
