@@ -74,3 +74,11 @@ def test_pam_evaluations(spark, crowded, monkeypatch):
     # two spacers of a class are exact in its phages; eight rules
     assert tried == [2 * 2 * PHAGES * 8]
     assert len(rows) == len({(r.spacer_id, r.phage_id, r.start, r.rule) for r in rows}) == 2 * 2 * PHAGES * 8 * BACTERIA
+
+
+def test_pam_subtype_support(spark, crowded, monkeypatch):
+    want = {r.array_id: r for r in sequences.evidence.subtype_support(sequences._annotated(spark, crowded).withColumn("hit_no", sequences.F.struct("spacer_id", "phage_id", "strand", "start"))).collect()}
+    tried = judged(monkeypatch)
+    got = {r.array_id: r for r in sequences.pam_subtype_support(spark, crowded).collect()}
+    assert tried == [2 * 2 * PHAGES * 5]
+    assert got == want and len(got) == 2 * BACTERIA
