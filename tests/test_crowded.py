@@ -82,3 +82,15 @@ def test_pam_subtype_support(spark, crowded, monkeypatch):
     got = {r.array_id: r for r in sequences.pam_subtype_support(spark, crowded).collect()}
     assert tried == [2 * 2 * PHAGES * 5]
     assert got == want and len(got) == 2 * BACTERIA
+
+
+def test_pairs_of_texts(spark, crowded, monkeypatch):
+    """Pairs counted by texts equal those counted by hits, and rules are tried once per text, place and rule."""
+    want = {(r.bacterium, r.phage): r for r in sequences.matrix_pairs(spark, crowded).collect()}
+    tried = judged(monkeypatch)
+    named = sequences._known_spacers(spark, crowded).join(sequences._predictions(spark, crowded), "array_id", "left")
+    spacers = named.select("spacer_id", sequences.F.upper("spacer").alias("own"), "bacterium", "cas_subtype", "confidence")
+    places = sequences._flanked_texts(sequences._known_spacers(spark, crowded), sequences.phages(spark, crowded))
+    got = {(r.bacterium, r.phage): r for r in sequences.evidence.pair_evidence_of_texts(places, spacers).collect()}
+    assert tried[0] <= 2 * 2 * PHAGES * 6 < 2 * 2 * PHAGES * BACTERIA
+    assert got == want and len(want) > 0
