@@ -194,3 +194,31 @@ def test_equal_spacers_meet_phages_once(spark):
     own = spark.createDataFrame([("ACGTTGCAGGTA",)] * 50, "own string")
     p = spark.createDataFrame([("p", "c", "TT" + "ACGTTGCAGGTA" + "CC")], "phage_id string, phage_contig string, sequence string")
     assert [(r.own, r.strand, r.start, r.end) for r in matching.exact_places(own, p).collect()] == [("ACGTTGCAGGTA", "+", 3, 14)]
+
+
+def test_better_chains_equal_greedy_choice():
+    """Stretch by stretch with a look-up of neighbours, ties by the repeat's first place: the same as one by one over all chains."""
+    own = random.Random(7)
+    for _ in range(200):
+        sequence = "".join(own.choice("AC") for _ in range(400))
+        chains = []
+        for _ in range(own.randint(1, 25)):
+            first, size, step = own.randrange(300), own.choice([3, 4]), own.choice([8, 9])
+            places = [first + k * step for k in range(own.randint(3, 6))]
+            chains.append((places[0] + 1, places[-1] + size, size, sequence[first : first + size], places))
+        kept = []
+        for c in sorted(chains, key=lambda c: (-len(c[4]), c[0] - c[1], -c[2], sequence.find(c[3]), c[0], c[1], c[3], c[4])):
+            shared = [max(0, min(c[1], k[1]) - max(c[0], k[0]) + 1) / min(c[1] - c[0] + 1, k[1] - k[0] + 1) for k in kept]
+            if all(x <= 0.5 for x in shared):
+                kept.append(c)
+        assert detect._better(list(chains), sequence) == sorted(kept, key=lambda c: (c[0], c[1]))
+
+
+def test_contig_of_many_arrays(spark):
+    """A contig of many tiles and 2,000 arrays with one repeat: each is found, in the order of its place."""
+    repeat = "GTTCACTGCCGTATAGGCAGCTAAGAAA"
+    one = "T" + repeat + "".join(x + repeat for x in ("A" + bases(30) + "C", "C" + bases(30) + "G", "G" + bases(30) + "T")) + "C" + bases(80, "AG")
+    df = spark.createDataFrame([("g", "c", 0, one * 2000)], "genome_id string, contig_id string, record_no bigint, sequence string")
+    got = detect.detect_arrays(df).select("start", "end", "repeat_consensus", "array_id").orderBy("start").collect()
+    assert [(r.start, r.end, r.repeat_consensus) for r in got] == [(i * len(one) + 2, (i + 1) * len(one) - 81, repeat) for i in range(2000)]
+    assert [r.array_id for r in got] == [f"g|c|array_{i}" for i in range(1, 2001)]
