@@ -89,7 +89,7 @@ def seeds(records: DataFrame, keys: list[str], least: int, most: int, reach: int
                         longest.append(int(found[offset + p]))
                         context.append(text[p : p + most])
                     offset += len(text) + reach
-                own = batch.take(pa.array(rows, pa.int64()))
+                own = batch.select(keys).take(pa.array(rows, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*(own.column(k) for k in keys), pa.array(at, pa.int32()), pa.array(longest, pa.int32()), pa.array(context, pa.string())], names=[*keys, "at", "longest", "context"])
 
     return parts.mapInArrow(look, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", at int, longest int, context string")

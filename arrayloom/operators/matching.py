@@ -171,6 +171,7 @@ def _looked_up(target: DataFrame, rows: list, blocks: int, max_mismatches: int,
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = batch.column("part").to_pylist()
+            batch = batch.select(["phage_id", "phage_contig", "begin"])  # no copy of a tile per hit
             for first, last in _groups(parts, 1 << 20):
                 tile, place, q, wrong, near = find(parts[first:last])
                 for cut in range(0, len(q), 1 << 16):
