@@ -137,3 +137,29 @@ def test_entry_needs_no_training_data_package():
 
     assert set(registry.queries()) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     assert not any(m.__name__.startswith("arrayloom.llm") for m in registry._MODULES)
+
+
+def test_neighbours_of_a_block():
+    """A block of queries meets a block of references without a table of all their pairs; keys shut out their own rows only."""
+    import tracemalloc
+    from random import Random
+
+    import pandas as pd
+
+    from arrayloom.operators.neighbours import _compare
+
+    r = Random(3)
+    bases = ["".join(r.choices("ACGT", k=r.choice((24, 28, 36)))) for _ in range(20_000)]
+    refs = pd.DataFrame({"text": bases, "label": [f"I-{k % 3}" for k in range(20_000)], "array_key": [f"k{k}" for k in range(20_000)], "n": 1, "ref_id": range(20_000)})
+    asks = pd.DataFrame({"q_text": bases[:600], "q_key": [f"k{k + k % 2}" for k in range(600)]})
+    tracemalloc.start()
+    got = _compare(refs, asks, 0.9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6  # 12 million pairs
+    like = lambda a, b: sum(x == y for x, y in zip(a, b)) / max(len(a), len(b))
+    for k in (0, 1, 599):
+        found = sorted(((-round(like(bases[k], b), 6), i) for i, b in enumerate(bases) if i != k + k % 2))[:2]
+        one = got[(got["q_text"] == bases[k]) & (got["q_key"] == f"k{k + k % 2}")].iloc[0]
+        assert (one["ref_id"], round(one["best"], 6), round(one["second"], 6)) == (found[0][1], -found[0][0], -found[1][0])
+        assert one["votes"] == ({} if k % 2 == 0 else {f"I-{k % 3}": 1})
