@@ -94,6 +94,25 @@ def test_named_features(spark):
     assert long[1]["kmer_2_AC"] == 3 / 15 and long[1]["array_length_estimate"] == 17 * 4 + 90 and long[2]["repeat_length"] == 0
 
 
+def test_named_features_of_many_rows(spark):
+    """Shares are counted for batches of rows, not looked up k-mer by k-mer, and are those of the plain count."""
+    from random import Random
+
+    r = Random(4)
+    texts = ["".join(r.choices("ACGTN", k=r.randrange(0, 48))) for _ in range(300)]
+    df = spark.createDataFrame([(i, t, 2, 30.0) for i, t in enumerate(texts)], "row_id int, repeat_sequence string, spacer_count int, mean_spacer_length double")
+    vectors = repeat_features.feature_vectors(df)
+    assert "ArrowEvalPython" in vectors._jdf.queryExecution().executedPlan().toString()
+    names = repeat_features.names()
+    for row in vectors.collect():
+        plain = row.repeat_sequence.replace("N", "")
+        got = dict(zip(names, row.features.toArray()))
+        for kind, of in (("kmer", plain), ("terminal_kmer", plain[:8] + plain[-8:])):
+            for k in (2, 3, 4):
+                every = [of[i : i + k] for i in range(len(of) - k + 1)]
+                assert {n: v for n, v in got.items() if n.startswith(f"{kind}_{k}_") and v} == {f"{kind}_{k}_{x}": every.count(x) / len(every) for x in set(every)}
+
+
 def test_predicted_subtypes_and_blocks(spark):
     arrays = spark.createDataFrame([(1, "ACGTACGTAC"), (2, "ACGTACGTAA"), (3, "TTTTTTTTTT"), (4, None), (5, "acgtacgtac")], "array_id int, repeat_consensus string")
     known = spark.createDataFrame([(9, "ACGTACGTAC", "I-E"), (3, "ACGTACGTAC", "I-F"), (4, "TTTTTTTTAA", "II-A"), (5, "", "V-A"), (6, "CCCCCCCCCC", "")], "ref_id bigint, text string, label string")
