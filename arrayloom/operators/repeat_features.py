@@ -114,3 +114,78 @@ def feature_vectors(rows: DataFrame, text: str = "repeat_sequence", sizes: tuple
     # most shares are 0; the assembler keeps whichever of dense and sparse vectors is smaller
     dense = full.withColumn("_all", array_to_vector(F.concat(F.array(*measures(full, text).values()), _every_share(sizes))))
     return VectorAssembler(inputCols=["_all"], outputCol="features").transform(dense).select(*rows.columns, "features")
+
+
+def _codes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Plain bases of texts as 0 to 3, a line each, filled up with 4; how many there are."""
+    texts = [(t or "").encode() for t in texts.to_pylist()]
+    given = np.array([len(t) for t in texts], np.int64)
+    read = np.full(256, 4, np.uint8)
+    for code, base in enumerate(b"ACGT"):
+        read[base] = read[base + 32] = code
+    data = read[np.frombuffer(b"".join(texts), np.uint8)]
+    row = np.repeat(np.arange(len(given)), given)[data < 4]
+    n = np.bincount(row, minlength=len(given))
+    out = np.full((len(given), max(n.max(initial=0), ENDS)), 4, np.uint8)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)] = data[data < 4]
+    return out, n
+
+
+def _shares_of(codes: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    width = codes.shape[1] - k + 1
+    code = sum(codes[:, j : j + width].astype(np.int64) << 2 * (k - 1 - j) for j in range(k))
+    there = np.arange(width)[None, :] <= (n - k)[:, None]
+    row, at = np.nonzero(there)
+    counts = np.bincount(row * 4**k + code[row, at], minlength=len(n) * 4**k).reshape(len(n), -1)
+    return counts / np.maximum(n - k + 1, 1)[:, None]
+
+
+def matrix(rows: pa.StructArray, sizes: tuple[int, ...] = SIZES) -> np.ndarray:
+    """feature_vectors for a batch of (repeat_sequence, spacer_count, mean_spacer_length): one line per row, the same to the last digit."""
+    text, spacers, mean = rows.flatten()
+    rounded = lambda x: np.rint(x * 1e6) / 1e6
+
+    def ratio(a, b):
+        return np.where(b == 0, 0.0, rounded(a / np.maximum(b, 1)))
+
+    def percent(a, b):
+        return np.where(b == 0, 0.0, rounded(a / np.maximum(b, 1) * 100))
+
+    codes, n = _codes(text)
+    length = np.array([len(t or "") for t in text.to_pylist()], np.int64)
+    spacers = spacers.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    mean = np.nan_to_num(mean.cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False), nan=0.0, posinf=np.inf, neginf=-np.inf)
+    each = np.stack([(codes == b).sum(1) for b in range(4)], axis=1)
+    place = np.arange(codes.shape[1])[None, :]
+    turned = 3 - np.take_along_axis(codes, np.maximum(n[:, None] - 1 - place, 0), 1).astype(np.int8)
+    alike = (codes == turned) & (place < n[:, None])
+    identity = np.where(n == 0, 0.0, rounded(alike.sum(1) / np.maximum(n, 1)))
+    stem = np.minimum(np.cumprod(alike[:, : 12], axis=1).sum(1), np.minimum(n // 2, 12))
+    stem = np.where(stem < 2, 0, stem)
+    hairpin = np.where(n < 8, 0.0, rounded(stem / np.sqrt(np.maximum(n, 1)) + identity))
+    own = [length, percent(each[:, 1] + each[:, 2], n), percent(each[:, 0] + each[:, 3], n), ratio(each[:, 2] - each[:, 1], each[:, 1] + each[:, 2]), spacers, mean, mean, mean, mean, np.zeros(len(n))]
+    own += [identity, stem, hairpin, spacers + 1, rounded(length * (spacers + 1) + spacers * mean), np.where(length == 0, 0.0, rounded(mean / np.maximum(length, 1)))]
+
+    def ends(width: int) -> tuple[np.ndarray, np.ndarray]:
+        last = np.take_along_axis(codes, np.maximum(n - width, 0)[:, None] + np.arange(width)[None, :], 1)
+        return codes[:, :width], last
+
+    for width in (4, 6):
+        for part in ends(width):
+            counts = np.stack([(part == b).sum(1) for b in range(4)], axis=1)
+            some = counts.sum(1)
+            own += [percent(counts[:, 1] + counts[:, 2], some), *[ratio(counts[:, b], some) for b in range(4)]]
+    first, last = ends(ENDS)
+    some = np.minimum(n, ENDS)
+    both = np.full((len(n), 2 * ENDS), 4, np.uint8)
+    both[:, :ENDS] = first
+    np.put_along_axis(both, some[:, None] + np.arange(ENDS)[None, :], last, 1)
+    out = [np.stack(own, axis=1).astype(float)]
+    for k in sizes:
+        out += [_shares_of(codes, n, k), _shares_of(both, 2 * some, k)]
+    return np.concatenate(out, axis=1)
+
+
+def as_given(text: str = "repeat_sequence") -> Column:
+    """What matrix() reads, as one column."""
+    return F.struct(F.upper(F.col(f"`{text}`")).alias("repeat_sequence"), F.col("spacer_count").cast("int").alias("spacer_count"), F.col("mean_spacer_length").try_cast("double").alias("mean_spacer_length"))

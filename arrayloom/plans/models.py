@@ -15,19 +15,31 @@ from arrayloom.sources import sequences, sinks
 from arrayloom.streaming import events
 
 TREES = 400  # of the reference, at each level of the hierarchy
+LEAST = 20  # rows of a class
 
 #: Groups of words counted in page lines. Fixed values.
 KEYWORDS = {"trade": ("market", "price", "wharf"), "council": ("council", "mayor", "election"), "ship": ("harbour", "steamer", "cargo")}
 
 
+def _halves(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return rows.filter("split = 'train'").drop("split"), rows.filter("split in ('validation', 'test')").drop("split")
+
+
 def _split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    rows = training.frequent_classes(labelled(spark, folder), "cas_subtype", 20).select("row_id", "split", "repeat_sequence", "cas_subtype", F.greatest("spacer_count", F.lit(0)).alias("spacer_count"), "mean_spacer_length")
-    vectors = written(repeat_features.feature_vectors(rows).select("row_id", "split", F.col("cas_subtype").alias("label"), "features"), "vectors")
-    return vectors.filter("split = 'train'").drop("split"), vectors.filter("split in ('validation', 'test')").drop("split")
+    rows = training.frequent_classes(labelled(spark, folder), "cas_subtype", LEAST).select("row_id", "split", "repeat_sequence", "cas_subtype", F.greatest("spacer_count", F.lit(0)).alias("spacer_count"), "mean_spacer_length")
+    return _halves(written(repeat_features.feature_vectors(rows).select("row_id", "split", F.col("cas_subtype").alias("label"), "features"), "vectors"))
+
+
+def _given(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """As _split, with what repeat_features.matrix reads for features. Labels are read once, and rows dealt among tasks, as the source may be one file."""
+    rows = labelled(spark, folder).withColumn("spacer_count", F.greatest("spacer_count", F.lit(0))).select("row_id", "split", F.col("cas_subtype").alias("label"), repeat_features.as_given().alias("features"))
+    rows = written(rows.repartition("row_id"), "rows")
+    labels = [r.label for r in rows.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).collect()]
+    return _halves(rows.filter(F.col("label").isin(labels)))
 
 
 def model_forest(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.overall(models.predict(*_split(spark, folder), "forest", TREES))
+    return metrics.overall(models.predict(*_given(spark, folder), "forest", TREES, repeat_features.matrix))
 
 
 def model_logistic(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,7 +47,7 @@ def model_logistic(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def model_hierarchical(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.overall(models.predict_hierarchical(*_split(spark, folder), training.cas_type, "forest", TREES))
+    return metrics.overall(models.predict_hierarchical(*_given(spark, folder), training.cas_type, "forest", TREES, repeat_features.matrix))
 
 
 def model_components(spark: SparkSession, folder: str) -> DataFrame:

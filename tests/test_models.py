@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arrayloom.operators import metrics, models
+from arrayloom.operators import forests, metrics, models, repeat_features
 from arrayloom.plans import models as plans
 
 rng = random.Random(4)
@@ -79,3 +80,66 @@ def test_permutation_deals_every_value_once(spark):
     assert sorted(r.row_id for r in got) == list(range(50))
     assert sorted(r.x for r in got) == [i * 10 for i in range(50)]
     assert any(r.x != r.row_id * 10 for r in got)
+
+
+def test_forest_of_all_trees_takes_few_jobs(spark, vectors):
+    spark.sparkContext.setJobGroup("forest", "all trees")
+    got = metrics.overall(models.predict(*vectors, "forest", plans.TREES)).first()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("forest")
+    spark.sparkContext.setJobGroup("", "")
+    assert got.rows == 30 and got.accuracy > 0.9
+    assert len(jobs) < 15  # one job for all trees, not one for each few hundred nodes
+
+
+def test_forest_does_not_depend_on_where_rows_lie(vectors):
+    train, test = vectors
+    one, other = (sorted(models.predict(t, test, "forest", 7).collect()) for t in (train.coalesce(1), train.repartition(5)))
+    assert one == other and len(one) == 30
+
+
+def test_packed_bins_are_read_back_and_the_best_split_is_found():
+    values = np.random.default_rng(3)
+    x = np.stack([values.integers(0, n, 400).astype(float) for n in (1, 3, 4, 5, 16, 17, 32, 33, 400, 2, 20)], axis=1)
+    ends = [forests.limits(c) for c in x.T]
+    bins, where = forests.binned(x, ends), forests.layout(ends)
+    assert bins.max() == 31 and [len(e) for e in ends[:7]] == [len(np.unique(c)) - 1 for c in x.T[:7]]
+    store, some = forests.packed(bins, where), np.arange(0, 400, 3)
+    for f in range(len(bins)):
+        assert (bins[f] == [(x[i, f] > ends[f]).sum() for i in range(400)]).all()
+        assert (forests.unpacked(store, where, f, some) == bins[f][some]).all()
+    y, weight = values.integers(0, 3, 400), values.random(400)
+
+    def impurity(at):
+        per = np.bincount(y[at], weight[at], 3)
+        return per.sum() - (per**2).sum() / max(per.sum(), 1e-9)
+
+    splits = {(f, b): impurity(bins[f] <= b) + impurity(bins[f] > b) for f in range(len(bins)) for b in range(31) if 0 < (bins[f] <= b).sum() < 400}
+    tree = forests.grow(store, where, np.arange(400), y, weight, 3, 1, values, len(bins))
+    f, b = int(tree["feature"][0]), int(tree["last"][0])
+    assert splits[f, b] == pytest.approx(min(splits.values()))
+    leaf = np.where(bins[f] > b, 2, 1)
+    for k in (1, 2):
+        per = np.bincount(y[leaf == k], weight[leaf == k], 3)
+        assert tree["share"][tree["leaf"] == k] == pytest.approx(per / per.sum())
+    got = forests.shares([tree], np.ascontiguousarray(bins.T), 3, 1)
+    assert got[leaf == 2][0] == pytest.approx(tree["share"][tree["leaf"] == 2])
+
+
+def test_hierarchy_grows_all_models_in_one_job(spark, vectors):
+    from arrayloom.operators import training
+
+    spark.sparkContext.setJobGroup("hierarchy", "all models")
+    got = models.predict_hierarchical(*vectors, training.cas_type, "forest", 20).collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("hierarchy")
+    spark.sparkContext.setJobGroup("", "")
+    assert len(got) == 30 and sum(r.correct for r in got) > 27 and len(jobs) < 15
+    assert {r.confidence for r in got if r.predicted_label == "II-A"} == {1.0}  # its type has no other
+
+
+def test_batches_of_features_equal_vectors(spark):
+    odd = [(0, "", 0, None), (1, None, 3, 1.5), (2, "ACG", 1, float("nan")), (3, "acgtnACGTTT", 1, 33.3), (4, "NNNN", 1, 2.0), (5, "ACGTACG", None, 2.0), (6, "ACGTNACGT", 2, 2.25)]
+    odd += [(7 + i, "".join(rng.choice("ACGTN") for _ in range(23 + i % 25)), i, i / 7) for i in range(60)] + [(67, "A" * 14 + "T" * 14, 1, 30.0)]
+    df = spark.createDataFrame(odd, "row_id int, repeat_sequence string, spacer_count int, mean_spacer_length double")
+    want = [r.features.toArray() for r in repeat_features.feature_vectors(df).orderBy("row_id").collect()]
+    given = df.orderBy("row_id").select(repeat_features.as_given().alias("x")).toArrow().column(0).combine_chunks()
+    assert (repeat_features.matrix(given) == np.array(want)).all()
